@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, mixing, sharding, url_filters
+from . import decontamination, fingerprints, mixing, ngram_join, sharding, suffix_dedup, url_filters
 from .common import tables
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    out = suffix_dedup.dedup_documents(tables(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_decontamination(spark, sf_dir):
     return decontamination.score_documents(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
 
@@ -14,6 +19,10 @@ def op3_sharding(spark, sf_dir):
     return sharding.shard_documents(tables(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark, sf_dir):
+    return ngram_join.near_components(tables(spark, sf_dir, "documents"))
+
+
 def op6_url_filters(spark, sf_dir):
     return url_filters.judge_pages(tables(spark, sf_dir, "pages"))
 
@@ -26,10 +35,9 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprints.fingerprint_documents(tables(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_sharding, op6_url_filters, op9_mixing, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_sharding, op4_ngram_join, op6_url_filters, op9_mixing, op10_fingerprints)}
 ORACLE = {
     "op2_decontamination": decontamination.ORACLE,
-    "op3_sharding": sharding.ORACLE,
     "op6_url_filters": url_filters.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op10_fingerprints": fingerprints.ORACLE,
