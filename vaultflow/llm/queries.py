@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, mixing, ngram_join, sharding, suffix_dedup, url_filters
+from . import decontamination, fingerprints, langid, mixing, ngram_join, quality, sharding, suffix_dedup, url_filters
 from .common import tables
 
 
@@ -27,6 +27,14 @@ def op6_url_filters(spark, sf_dir):
     return url_filters.judge_pages(tables(spark, sf_dir, "pages"))
 
 
+def op7_quality(spark, sf_dir):
+    return quality.score_documents(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark, sf_dir):
+    return langid.predict_documents(tables(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix_documents(tables(spark, sf_dir, "documents"))
 
@@ -35,7 +43,7 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprints.fingerprint_documents(tables(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_sharding, op4_ngram_join, op6_url_filters, op9_mixing, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_sharding, op4_ngram_join, op6_url_filters, op7_quality, op8_language_id, op9_mixing, op10_fingerprints)}
 ORACLE = {
     "op2_decontamination": decontamination.ORACLE,
     "op6_url_filters": url_filters.ORACLE,
