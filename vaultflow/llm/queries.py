@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, langid, mixing, ngram_join, quality, sharding, suffix_dedup, url_filters
+from . import decontamination, fingerprints, html_extract, langid, mixing, ngram_join, quality, sharding, suffix_dedup, url_filters
 from .common import tables
 
 
@@ -23,6 +23,10 @@ def op4_ngram_join(spark, sf_dir):
     return ngram_join.near_components(tables(spark, sf_dir, "documents"))
 
 
+def op5_html_extract(spark, sf_dir):
+    return html_extract.extract_pages(tables(spark, sf_dir, "pages"))
+
+
 def op6_url_filters(spark, sf_dir):
     return url_filters.judge_pages(tables(spark, sf_dir, "pages"))
 
@@ -43,7 +47,7 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprints.fingerprint_documents(tables(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_sharding, op4_ngram_join, op6_url_filters, op7_quality, op8_language_id, op9_mixing, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_sharding, op4_ngram_join, op5_html_extract, op6_url_filters, op7_quality, op8_language_id, op9_mixing, op10_fingerprints)}
 ORACLE = {
     "op2_decontamination": decontamination.ORACLE,
     "op6_url_filters": url_filters.ORACLE,
