@@ -1,4 +1,5 @@
 """Registered queries of the knowledge-base operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .plans.queries import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
