@@ -46,7 +46,7 @@ def dead_links(pages: DataFrame, include_aliases: bool = False, strict: bool = F
     ids = pages.select("vault", F.lower("page_id").alias("key")).distinct()
     out = links.join(ids, ["vault", "key"], "left_anti").join(names, ["vault", "base"], "left_anti")
     if include_aliases:
-        alias = pages.select("vault", F.lower(F.trim(F.explode("aliases"))).alias("key")).distinct()
+        alias = pages.select("vault", F.explode("aliases").alias("key")).select("vault", F.lower(F.trim("key")).alias("key")).distinct()
         out = out.join(alias, ["vault", "key"], "left_anti")
     return out.select("vault", "src", "target")
 
