@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import materialize
-from .texthash import BYTE, U, chunks, mix, powers, prefix_hashes, text_bytes
+from .texthash import BYTE, U, chunks, mix, powers, prefix_hashes, slices, text_bytes
 
 LENGTH, GRAM = 400, 100
 #: Rows of an anchor that one task sorts.
 HOT = 20_000
 #: Bytes of surroundings that are sorted together.
-SORTED = 3 << 20
+SORTED = 1 << 20
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -85,7 +85,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
 def anchor_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             t1, t2 = batch.column("t1").to_numpy(), batch.column("t2").to_numpy()
             fresh = np.zeros(len(t1), bool)
             for i, key in enumerate(zip(t1.tolist(), t2.tolist(), strict=True)):
@@ -106,7 +106,7 @@ def cut_out(length: int):
     """The bytes under each row's suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             data, offsets = text_bytes(batch.column("text"))
             buffer, out, held = data.tobytes(), [], 0
             rows = batch.column("rows").to_pylist()
@@ -115,7 +115,7 @@ def cut_out(length: int):
                     piece = buffer[base + r["first"] : base + r["last"] + length]
                     out.append((r["h"], r["k"], t1, t2, r["first"], piece))
                     held += len(piece)
-                if held > 16 << 20:
+                if held > 4 << 20:
                     yield _surroundings(out)
                     out, held = [], 0
             yield _surroundings(out)
@@ -242,7 +242,7 @@ def cleaned(length: int):
     """What each document loses and keeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             rows = []
             for text, copies, spans in zip(batch.column("text").to_pylist(), batch.column("copies").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 data = text.encode()

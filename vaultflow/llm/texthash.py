@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Texts are taken together up to so many bytes; a longer one is taken alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(20240201))
 BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 BYTE_LOWER = BYTE.copy()
@@ -25,7 +25,7 @@ _powers = [np.ones(1, U), np.ones(1, U)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE and INVERSE to the powers 0..n-1."""
     if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), CHUNK + 1)
+        size = max(n + n // 8, CHUNK + 1)
         with np.errstate(over="ignore"):
             for i, b in enumerate((BASE, INVERSE)):
                 f = np.full(size, b, U)
@@ -55,6 +55,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return all_bytes[at[0] : at[-1]], at - at[0]
 
 
+def slices(batch: pa.RecordBatch, column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """batch in parts of about that many bytes of a column, so that copies of a part stay small."""
+    _, offsets = text_bytes(batch.column(column))
+    for i, j in chunks(offsets, size):
+        yield batch.slice(i, j - i)
+
+
 def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about that many bytes together."""
     i, n = 0, len(offsets) - 1
