@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space and the Unicode spaces, for use inside a character class.
 SPACES = r"\s   -     　﻿"
+#: A search term. Fixed value.
 TERM = r"[a-z0-9][a-z0-9'-]*"
 DAY = 86_400
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -195,3 +197,14 @@ def diff_lines(before: pd.Series, after: pd.Series) -> pd.Series:
         return [{"op": o, "text": t} for o, t in rows]
 
     return pd.Series([one(b, a) for b, a in zip(before, after, strict=True)])
+
+
+@vectorised("added int, removed int, same int")
+def diff_words(before: pd.Series, after: pd.Series) -> pd.DataFrame:
+    """Words added, removed and kept between two texts, by their longest matching runs."""
+    rows = []
+    for b, a in zip(before, after, strict=True):
+        old, new = (b or "").split(), (a or "").split()
+        same = sum(m.size for m in SequenceMatcher(None, old, new, autojunk=False).get_matching_blocks())
+        rows.append((len(new) - same, len(old) - same, same))
+    return pd.DataFrame(rows, columns=["added", "removed", "same"])

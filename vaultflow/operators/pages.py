@@ -13,6 +13,7 @@ from ..functions.text import SPACES, base_name, content_hash, dir_name, strip_ex
 from ..functions.udf import vectorised
 
 FRONT = r"^---[ \t]*\r?\n(?s:(.*?))\r?\n?---[ \t]*(?:\r?\n|$)"
+#: Fixed value.
 MAX_INLINE_TAGS = 12
 SECTIONS = "array<struct<pos:int,depth:int,heading:string,text:string>>"
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.text import DAY, age_days, half_up
 
 DECAY_DAYS = 120
-#: (match, days, label), in the order that decides.
+#: (match, days, label), in the order that decides. Fixed values.
 POLICY_RULES = (("/pricing|cost|rate|invoice/", 30, "Money moves"), ("/client|project|status|roadmap/", 60, "Work in flight"), ("/tool|stack|version|setup|install|config/", 90, "Tooling drifts"))
 #: The older built-in order: tooling before work.
 HEALTH_RULES = (POLICY_RULES[0], POLICY_RULES[2], POLICY_RULES[1])

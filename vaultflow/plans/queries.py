@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import DAY, format_tokens, slugify, strip_leading_title, target_path, token_count
 from ..operators import analysis, health, ingest, journal, links, mentions, packs, pages, rank, schema, similar, trust, usage, vectors
@@ -746,3 +747,76 @@ def passage_scores(s, d):
     whole = v.pages(s, d).select("vault", "page_id", "rel_path", F.lit(0).alias("pos"), F.lit(None).cast("string").alias("heading"), F.col("plain").alias("text"), token_count(F.col("plain")).alias("tokens"))
     out = packs.score_passages(v.queries(s, d), whole, trusted(s, d))
     return out.select(F.col("query_id").cast("int").alias("query_id"), "vault", "page_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def rendered_packs(s, d):
+    f = v.pages(s, d).select("vault", "rel_path", F.col("plain").alias("text"))
+    p, t = materialize(packs.passages(f)), trusted(s, d)
+    taken, omitted = packs.fill_budget(packs.score_passages(v.queries(s, d), p, t))
+    return packs.render_packs(v.queries(s, d), taken, omitted, p, t)
+
+
+@query()
+def gap_lists(s, d):
+    return usage.gap_list(usage.cluster_gaps(v.usage(s, d)))
+
+
+# ---- rewrites
+@query("select vault, case k when 1 then 'tags' else 'title' end as name, count(*) filter (k = 1) as missing, count(*) filter (k = 2) as wrong_type from (select vault, doc_id, unnest([1, 2]) as k from pages) where (k = 1 and doc_id % 2 = 0) or (k = 2 and doc_id % 3 = 0) group by all")
+def schema_counts(s, d):
+    files = s.createDataFrame([(x, RULES_PAGE) for x in ("v0", "v1", "v2")], "vault string, text string")
+    p = v.pages(s, d).withColumn("frontmatter_json", F.expr("concat('{\"title\": ', if(doc_id % 3 = 0, '5', '\"x\"'), if(doc_id % 2 = 0, '', ', \"tags\": [\"a\"]'), ', \"updated\": \"2024-01-05\"}')"))
+    return schema.schema_breakdown(schema.check_schema(p, schema.schema_rules(files)))
+
+
+def plain_files(s, d):
+    return v.pages(s, d).select("vault", "rel_path", F.col("plain").alias("text"), "doc_id", "title")
+
+
+@query("select vault, rel_path, md5(case when doc_id % 2 = 0 then '---' || chr(10) || 'source: \"u' || doc_id || '\"' || chr(10) || '---' || chr(10) || chr(10) else '' end || plain) as digest from pages")
+def sourced_pages(s, d):
+    f = plain_files(s, d)
+    src = f.filter("doc_id % 2 = 0").select("vault", "rel_path", F.expr("'u' || cast(doc_id as string)").alias("source"))
+    return links.set_source(f.select("vault", "rel_path", "text"), src).select("vault", "rel_path", F.md5("text").alias("digest"))
+
+
+@query("select vault, rel_path, md5(case when doc_id % 4 = 1 then '---' || chr(10) || 'verified_on: 2024-01-05' || chr(10) || '---' || chr(10) || chr(10) else '' end || plain) as digest from pages")
+def stamped_pages(s, d):
+    f = plain_files(s, d)
+    st = f.filter("doc_id % 4 = 1").select("vault", "rel_path", F.lit("2024-01-05 10:00:00").cast("timestamp").alias("at"))
+    return ingest.stamp_trust(f.select("vault", "rel_path", "text"), st).select("vault", "rel_path", F.md5("text").alias("digest"))
+
+
+@query("""
+, m as (select a.vault, a.rel_path as keep, a.page_id as keep_id, b.rel_path as lose, b.title, b.plain from pages a join pages b on b.doc_id = a.doc_id + 3 where a.doc_id % 12 = 0)
+select p.vault, p.rel_path, md5(case when l.lose is not null then '---' || chr(10) || 'title: "' || replace(l.title, '"', '\\"') || '"' || chr(10) || 'merged_into: "' || l.keep || '"' || chr(10) || 'aliases: ["' || replace(l.title, '"', '\\"') || '"]' || chr(10) || '---' || chr(10) || chr(10) || '# ' || l.title || chr(10) || chr(10)
+ || 'This page was merged into [[' || l.keep_id || ']]. Its content lives there now.' || chr(10)
+ when k.keep is not null then p.plain || chr(10) || chr(10) || '## Merged from ' || k.title || chr(10) || chr(10) || k.plain || chr(10) else p.plain end) as digest
+from pages p left join m k on k.vault = p.vault and k.keep = p.rel_path left join m l on l.vault = p.vault and l.lose = p.rel_path""")
+def merged_pages(s, d):
+    f = plain_files(s, d)
+    a = f.filter("doc_id % 12 = 0").select("vault", F.col("rel_path").alias("keep"), (F.col("doc_id") + 3).alias("doc_id"))
+    merges = a.join(f.select("doc_id", F.col("rel_path").alias("lose"), "title"), "doc_id").drop("doc_id")
+    return links.merge_pages(f.select("vault", "rel_path", "text"), merges).select("vault", "rel_path", F.md5("text").alias("digest"))
+
+
+@query()
+def linked_pages(s, d):
+    f = plain_files(s, d).select("vault", "rel_path", "text")
+    return mentions.apply_links(f, link_suggestions(s, d)).filter("text like '%[[%'")
+
+
+@query("""
+, l as (select vault, rel_path, at, text, lag(text) over (partition by vault, rel_path order by at) as before from versions)
+select vault, rel_path, at, (len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) - len(string_split(trim(regexp_replace(before, '\\s+', ' ', 'g')), ' ')))::int as growth from l where before is not null""")
+def version_growth(s, d):
+    x = v.versions(s, d).withColumn("before", F.lag("text").over(Window.partitionBy("vault", "rel_path").orderBy("at"))).filter("before is not null")
+    x = x.withColumn("w", journal.diff_words("before", "text"))
+    return x.select("vault", "rel_path", secs("at").alias("at"), (F.col("w.added") - F.col("w.removed")).cast("int").alias("growth"))
+
+
+@query()
+def version_diffs(s, d):
+    x = v.versions(s, d).withColumn("before", F.lag("text").over(Window.partitionBy("vault", "rel_path").orderBy("at"))).filter("before is not null")
+    return x.select("vault", "rel_path", "at", F.explode(journal.diff_lines("before", "text")).alias("line")).select("vault", "rel_path", "at", "line.op", "line.text")
