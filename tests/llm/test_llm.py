@@ -163,10 +163,13 @@ def test_ngram_join(spark, odd, none):
     assert 0 in kept and not kept & set(range(10, 18)) and {40, 41, None} <= kept
 
 
-@pytest.mark.parametrize("frequent", [48, 2])
-def test_ngram_chains(spark, monkeypatch, frequent):
+@pytest.mark.parametrize(("frequent", "dense", "stars"), [(48, (64, 20_000), 2), (2, (2, 20_000), 1), (48, (2, 20_000), 1), (48, (2, 20), 1)])
+def test_ngram_chains(spark, monkeypatch, frequent, dense, stars):
     """Chains whose ends don't link, and passages that many texts share."""
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    monkeypatch.setattr(ngram_join, "DENSE", dense)
+    monkeypatch.setattr(ngram_join, "STARS", stars)
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
     monkeypatch.setattr(ngram_join, "LOCAL", 2)
     r, rows = random.Random(2), []
     base = [r.choice(WORDS) + str(i) for i in range(120)]
