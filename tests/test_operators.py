@@ -208,3 +208,13 @@ def test_templates(spark):
 def test_diff():
     out = journal.diff_lines.__wrapped__(pd.Series(["a\nb\nc\nd"]), pd.Series(["a\nb\nX\nd"]))[0]
     assert [(r["op"], r["text"]) for r in out] == [(" ", "a"), (" ", "b"), ("-", "c"), ("+", "X"), (" ", "d")]
+
+
+def test_chunks_hold_every_word(spark):
+    words = [f"w{i}" for i in range(20_000)]
+    p = spark.createDataFrame([("v", "long", "T", " ".join(words)), ("v", "short", "T", "one two"), ("v", "none", "T", "")], "vault string, page_id string, title string, plain string")
+    rows = pages.chunks(p).orderBy("page_id", "chunk_no").collect()
+    texts = [r.text.split("\n", 1)[1].split(" ") for r in rows if r.page_id == "long"]
+    assert set().union(*texts) == set(words) and all(a[-40:] == b[:40] for a, b in zip(texts, texts[1:], strict=False))
+    assert [r.text for r in rows if r.page_id != "long"] == ["T\none two"]
+    assert pages.chunks(p, most=24).filter("page_id = 'long'").count() == 24

@@ -214,15 +214,19 @@ def outline(files: DataFrame, depth: int = 4) -> DataFrame:
     return s.filter(f"s.heading is not null and s.depth <= {depth}").select("vault", "page_id", "s.pos", "s.depth", "s.heading")
 
 
-def chunks(pages: DataFrame, size: int = 180, overlap: int = 40, most: int = 24) -> DataFrame:
-    """(vault, page_id, chunk_no, text, hash): windows of words, with the title before each. Long pages get a wider
-    stride, so that no page has more than ``most``."""
+def chunks(pages: DataFrame, size: int = 180, overlap: int = 40, most: int | None = None) -> DataFrame:
+    """(vault, page_id, chunk_no, text, hash): windows of words, with the title before each, over the whole page.
+
+    With ``most``, long pages get a wider stride, so that no page has more windows; words between them are then lost."""
     words = F.filter(F.split("plain", rf"[{SPACES}]+"), lambda w: w != "")
     p = pages.select("vault", "page_id", "title", words.alias("w")).filter(F.size("w") > 0)
     n = F.size("w")
-    stride = F.greatest(F.lit(size - overlap), F.ceil((n - size) / F.lit(most - 1)).cast("int"))
+    stride = F.lit(size - overlap)
+    if most is not None:
+        stride = F.greatest(stride, F.ceil((n - size) / F.lit(most - 1)).cast("int"))
     # The last window is the first that reaches the end.
     last = F.greatest(F.lit(0), F.ceil((n - size) / stride).cast("int"))
     p = p.withColumn("stride", stride).withColumn("at", F.explode(F.sequence(F.lit(0), last)))
     text = F.concat_ws("\n", "title", F.array_join(F.slice("w", F.col("at") * F.col("stride") + 1, size), " "))
-    return p.filter(F.col("at") < most).select("vault", "page_id", F.col("at").alias("chunk_no"), text.alias("text"), content_hash(text).alias("hash"))
+    p = p if most is None else p.filter(F.col("at") < most)
+    return p.select("vault", "page_id", F.col("at").alias("chunk_no"), text.alias("text"), content_hash(text).alias("hash"))

@@ -665,6 +665,14 @@ t as (select *, greatest(140, ceil((len(w) - 180) / 23))::int as stride from w w
 c as (select *, unnest(range(0, (greatest(0, ceil((len(w) - 180) / stride)) + 1)::int)) as chunk_no from t)
 select vault, page_id, chunk_no::int as chunk_no, substring(sha1(title || chr(10) || array_to_string(w[chunk_no * stride + 1:chunk_no * stride + 180], ' ')), 1, 16) as hash from c where chunk_no < 24""")
 def embedding_chunks(s, d):
+    return pages.chunks(v.pages(s, d), most=24).select("vault", "page_id", "chunk_no", "hash")
+
+
+@query("""
+, w as (select vault, page_id, title, list_filter(string_split(plain, ' '), lambda x: x <> '') as w from pages),
+c as (select *, unnest(range(0, (greatest(0, ceil((len(w) - 180) / 140)) + 1)::int)) as chunk_no from w where len(w) > 0)
+select vault, page_id, chunk_no::int as chunk_no, substring(sha1(title || chr(10) || array_to_string(w[chunk_no * 140 + 1:chunk_no * 140 + 180], ' ')), 1, 16) as hash from c""")
+def embedding_chunks_whole(s, d):
     return pages.chunks(v.pages(s, d)).select("vault", "page_id", "chunk_no", "hash")
 
 
