@@ -218,3 +218,24 @@ def test_chunks_hold_every_word(spark):
     assert set().union(*texts) == set(words) and all(a[-40:] == b[:40] for a, b in zip(texts, texts[1:], strict=False))
     assert [r.text for r in rows if r.page_id != "long"] == ["T\none two"]
     assert pages.chunks(p, most=24).filter("page_id = 'long'").count() == 24
+
+
+def test_semantic_search_of_many_queries(spark):
+    import numpy as np
+
+    m = np.random.default_rng(4).normal(size=(40, 8))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    x = spark.createDataFrame([(f"v{i % 2}", f"p{i // 4}", [float(y) for y in m[i]]) for i in range(40)], "vault string, page_id string, embedding array<float>")
+    q = spark.range(10_001).select(F.col("id").alias("query_id"), F.element_at(F.lit(m.tolist()).cast("array<array<float>>"), (F.col("id") % 40 + 1).cast("int")).alias("embedding"))
+    want = {}
+    s = m.astype(np.float32).astype(float) @ m.astype(np.float32).astype(float).T
+    for a, b in zip(*np.nonzero(s >= vectors.FLOOR), strict=True):
+        page = (int(a), f"v{b % 2}", f"p{b // 4}")
+        want[page] = max(want.get(page, 0), s[a, b])
+    best = {k[:2]: max(w for l, w in want.items() if l[:2] == k[:2]) for k in want}
+    want = {k: round(w, 6) for k, w in want.items() if w >= vectors.RELATIVE * best[k[:2]]}
+    for block in (vectors.WIDE, 500):
+        rows = vectors.semantic_search(q, x, limit=1000, block=block).select((F.col("query_id") % 40).alias("k"), "query_id", "vault", "page_id", F.round("score", 6).alias("score")).collect()
+        assert {(r.k, r.vault, r.page_id): r.score for r in rows} == want
+        assert len({r.query_id for r in rows}) == 10_001 and len(rows) == sum(250 + (k[0] == 0) for k in want)
+    assert vectors.semantic_search(q, x.limit(0)).count() == vectors.semantic_search(q.limit(0), x).count() == 0

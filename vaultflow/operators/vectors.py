@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 FLOOR, RELATIVE = 0.30, 0.55
 BLOCK = 2048
+#: Rows of a block in a search, queries multiplied at once, and blocks that small tables make at most.
+WIDE, SLICE, IDLE = 16384, 512, 12
+FOUND = pa.schema([("query_id", pa.int64()), ("vault", pa.string()), ("page_id", pa.string()), ("score", pa.float64())])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -25,25 +27,46 @@ def _best(scores: DataFrame, keys: list[str], limit: int) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(w.orderBy(F.desc(F.round("score", 6)), "page_id"))).filter(F.col("rank") <= limit)
 
 
-def semantic_search(query_vectors: DataFrame, vectors: DataFrame, limit: int = 10, most_queries: int = 10_000) -> DataFrame:
-    """(query_id, vault, page_id, score, rank): the best chunk of each page by dot product. The queries' matrix goes to every task; a batch
-    larger than most_queries is refused, split it."""
-    rows = query_vectors.select("query_id", "embedding").orderBy("query_id").limit(most_queries + 1).toArrow()
-    if len(rows) > most_queries:
-        raise ValueError(f"more than {most_queries} queries at once")
-    ids = rows.column("query_id").to_numpy()
-    matrix = np.array(rows.column("embedding").to_pylist(), np.float64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            s = matrix @ _matrix(batch.column("embedding")).T
-            q, c = np.nonzero(s >= FLOOR)
-            index = pa.array(c)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), batch.column("vault").take(index), batch.column("page_id").take(index), pa.array(s[q, c].astype(np.float64))], names=["query_id", "vault", "page_id", "score"])
-
-    scores = vectors.select("vault", "page_id", "embedding").mapInArrow(run, "query_id long, vault string, page_id string, score double")
+def _blocks(table: DataFrame, block: int) -> DataFrame:
+    """(blocks): how many blocks the rows of table make, as one row. Small tables get blocks of BLOCK rows, for the sake of idle cores."""
+    n = F.count("*")
+    return table.agg(F.greatest(F.lit(1), F.ceil(n / block), F.least(F.lit(IDLE), F.ceil(n / min(block, BLOCK)))).cast("int").alias("blocks"))
+
+
+def semantic_search(query_vectors: DataFrame, vectors: DataFrame, limit: int = 10, block: int = WIDE) -> DataFrame:
+    """(query_id, vault, page_id, score, rank): the best chunk of each page by dot product.
+
+    Exact, in blocks: queries and vectors are dealt to blocks of about ``block`` rows, and each block of queries meets each block of
+    vectors in one task. Of its scores only the best of each page leaves it, if it reaches the floor and the relative cut
+    of the block, which is never above that of the whole vault."""
+    q, v = query_vectors.select("query_id", "embedding"), vectors.select("vault", "page_id", "embedding")
+    of_q, of_v = _blocks(q, block), _blocks(v, block)
+    deal = lambda n, *keys: F.pmod(F.xxhash64(*keys), n).cast("int")
+    both = of_q.withColumnRenamed("blocks", "nq").crossJoin(of_v.withColumnRenamed("blocks", "nv"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = q.crossJoin(F.broadcast(both)).withColumn("i", deal(F.col("nq"), "query_id", "embedding")).withColumn("j", every("nv"))
+    stored = v.crossJoin(F.broadcast(both)).withColumn("j", deal(F.col("nv"), "vault", "page_id", "embedding")).withColumn("i", every("nq"))
+    asked = asked.select("i", "j", F.col("query_id").cast("long").alias("query_id"), F.lit(None).cast("string").alias("vault"), F.lit(None).cast("string").alias("page_id"), "embedding", F.lit(True).alias("asks"))
+    stored = stored.select("i", "j", F.lit(None).cast("long").alias("query_id"), "vault", "page_id", "embedding", F.lit(False).alias("asks"))
+
+    def run(key, table):
+        asks = table.column("asks")
+        mine, theirs = (x.combine_chunks() for x in (table.filter(asks), table.filter(pc.invert(asks))))
+        whole = lambda t, c: pa.concat_arrays(t.column(c).chunks) if t.num_rows else pa.array([], t.schema.field(c).type)
+        ids, m, x = whole(mine, "query_id"), _matrix(whole(mine, "embedding")), _matrix(whole(theirs, "embedding"))
+        found = []
+        for start in range(0, len(m) if len(x) else 0, SLICE):
+            s = m[start : start + SLICE] @ x.T
+            a, c = np.nonzero(s >= FLOOR)
+            part = pa.table({"query_id": ids.take(pa.array(a + start)), "vault": whole(theirs, "vault").take(pa.array(c)), "page_id": whole(theirs, "page_id").take(pa.array(c)), "score": pa.array(s[a, c])})
+            found.append(part.group_by(["query_id", "vault", "page_id"]).aggregate([("score", "max")]).rename_columns(["query_id", "vault", "page_id", "score"]).cast(FOUND))
+        out = pa.concat_tables([FOUND.empty_table(), *found])
+        top = out.group_by(["query_id", "vault"]).aggregate([("score", "max")])
+        out = out.join(top, ["query_id", "vault"]) if out.num_rows else out.append_column("score_max", out.column("score"))
+        near = pc.greater_equal(out.column("score"), pc.multiply(out.column("score_max"), RELATIVE))
+        return out.filter(near.fill_null(True)).select(FOUND.names)  # a null vault has no partner in the join
+
+    scores = asked.unionByName(stored).groupBy("i", "j").applyInArrow(run, "query_id long, vault string, page_id string, score double")
     return _best(scores.groupBy("query_id", "vault", "page_id").agg(F.max("score").alias("score")), ["query_id", "vault"], limit)
 
 
