@@ -239,3 +239,15 @@ def test_semantic_search_of_many_queries(spark):
         assert {(r.k, r.vault, r.page_id): r.score for r in rows} == want
         assert len({r.query_id for r in rows}) == 10_001 and len(rows) == sum(250 + (k[0] == 0) for k in want)
     assert vectors.semantic_search(q, x.limit(0)).count() == vectors.semantic_search(q.limit(0), x).count() == 0
+
+
+def test_orphans_whole_and_all(spark):
+    rare = [f"rare{i}a rare{i}b rare{i}c" for i in range(30)]
+    filler = "x " * 3000
+    rows = [("v", f"{side}{i:02}", "", filler + rare[i], "f" + side, []) for i in range(30) for side in "ab"]
+    p = spark.createDataFrame(rows, "vault string, page_id string, title string, plain string, folder string, tags array<string>")
+    none = spark.createDataFrame([], "vault string, src string, dst string")
+    got = sorted((r.page_id, r.other, r.score) for r in analysis.rescue_orphans(p, none).collect())
+    assert got == sorted((f"{x}{i:02}", f"{y}{i:02}", 6) for i in range(30) for x, y in ("ab", "ba"))
+    assert analysis.rescue_orphans(p, none, letters=4000).count() == 0
+    assert {r.page_id for r in analysis.rescue_orphans(p, none, limit=25).collect()} == {f"a{i:02}" for i in range(25)}

@@ -617,6 +617,22 @@ al as (select coalesce(sh.vault, tg.vault) as vault, coalesce(sh.orphan, tg.orph
 fs as (select al.vault, orphan as page_id, other, b + case when x.folder = y.folder then 3 else 0 end as score from al join pages x on x.vault = al.vault and x.page_id = orphan join pages y on y.vault = al.vault and y.page_id = other)
 select vault, page_id, other, score::bigint as score, row_number() over (partition by vault, page_id order by score desc, other)::int as rank from fs where score >= 6 qualify rank <= 3""")
 def orphan_rescue(s, d):
+    e = edges_of(s, d).filter("src not like '%7' and dst not like '%7'")
+    return analysis.rescue_orphans(v.pages(s, d), e, limit=25, letters=4000).select("vault", "page_id", "other", F.col("score").cast("long").alias("score"), "rank")
+
+
+@query("""
+, ed as (select * from edges where src not like '%7' and dst not like '%7'),
+lost as (select vault, page_id from pages p where not exists (select 1 from ed e where e.vault = p.vault and (e.src = p.page_id)) and not exists (select 1 from ed e where e.vault = p.vault and e.dst = p.page_id)),
+ws as (select vault, page_id, unnest(list_distinct(regexp_extract_all(lower(title || ' ' || plain), '[a-z][a-z0-9-]{4,}'))) as word from pages),
+nn as (select vault, count(*) as n from pages group by vault),
+rare as (select vault, word from ws join nn using (vault) group by vault, word having count(*) <= any_value(n) * 0.15::double),
+sh as (select a.vault, a.page_id as orphan, b.page_id as other, count(*) * 2 as s from ws a join lost using (vault, page_id) join rare using (vault, word) join ws b on b.vault = a.vault and b.word = a.word where a.page_id <> b.page_id group by all),
+tg as (select a.vault, a.page_id as orphan, b.page_id as other, count(*) * 4 as t from (select vault, page_id, unnest(tags) as tag from pages) a join lost using (vault, page_id) join (select vault, page_id, unnest(tags) as tag from pages) b on b.vault = a.vault and b.tag = a.tag where a.page_id <> b.page_id group by all),
+al as (select coalesce(sh.vault, tg.vault) as vault, coalesce(sh.orphan, tg.orphan) as orphan, coalesce(sh.other, tg.other) as other, coalesce(s, 0) + coalesce(t, 0) as b from sh full join tg on sh.vault = tg.vault and sh.orphan = tg.orphan and sh.other = tg.other),
+fs as (select al.vault, orphan as page_id, other, b + case when x.folder = y.folder then 3 else 0 end as score from al join pages x on x.vault = al.vault and x.page_id = orphan join pages y on y.vault = al.vault and y.page_id = other)
+select vault, page_id, other, score::bigint as score, row_number() over (partition by vault, page_id order by score desc, other)::int as rank from fs where score >= 6 qualify rank <= 3""")
+def orphan_rescue_whole(s, d):
     e = edges_of(s, d).filter("src not like '%7' and dst not like '%7'")
     return analysis.rescue_orphans(v.pages(s, d), e).select("vault", "page_id", "other", F.col("score").cast("long").alias("score"), "rank")
 
