@@ -163,6 +163,17 @@ def test_ngram_join(spark, odd, none):
     assert 0 in kept and not kept & set(range(10, 18)) and {40, 41, None} <= kept
 
 
+def test_keep_one_of_rows(spark):
+    """Repeated rows, copies under one doc_id and rows without doc_id: one of each group stays."""
+    say = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    near = say("a") + " more"
+    rows = [(1, say("a")), (1, say("a")), (1, near), (2, say("a")), (None, say("a")), (1, say("b")), (None, say("c")), (None, say("c")), (3, ""), (3, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], DOCS).repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(docs).collect()), key=repr)
+    assert len(kept) == 6 and {(1, say("b")), (None, say("c")), (3, ""), (None, None)} <= set(kept) and kept.count((3, "")) == 2
+    assert sum(t in (say("a"), near) for _, t in kept) == 1 and all(i == 1 for i, t in kept if t in (say("a"), near))
+
+
 @pytest.mark.parametrize(("frequent", "dense", "stars"), [(48, (64, 20_000), 2), (2, (2, 20_000), 1), (48, (2, 20_000), 1), (48, (2, 20), 1)])
 def test_ngram_chains(spark, monkeypatch, frequent, dense, stars):
     """Chains whose ends don't link, and passages that many texts share."""
