@@ -251,3 +251,10 @@ def test_orphans_whole_and_all(spark):
     assert got == sorted((f"{x}{i:02}", f"{y}{i:02}", 6) for i in range(30) for x, y in ("ab", "ba"))
     assert analysis.rescue_orphans(p, none, letters=4000).count() == 0
     assert {r.page_id for r in analysis.rescue_orphans(p, none, limit=25).collect()} == {f"a{i:02}" for i in range(25)}
+
+
+def test_near_duplicates_at_the_threshold(spark):
+    say = lambda k, n: " ".join(f"{k}x{i}" for i in range(n))
+    docs = [("v", f"{i}{side}", "", f"{say(i, shared)} {say(f'{i}{side}', 102 - shared)}") for i in range(300) for shared in [54 if i % 2 else 53] for side in "ab"]
+    got = {(r.a, r.b, round(r.score, 6)) for r in similar.near_duplicates(spark.createDataFrame(docs, "vault string, id string, title string, text string")).collect()}
+    assert got == {(f"{i}a", f"{i}b", round(52 / 148, 6)) for i in range(1, 300, 2)}
