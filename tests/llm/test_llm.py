@@ -174,13 +174,15 @@ def test_keep_one_of_rows(spark):
     assert sum(t in (say("a"), near) for _, t in kept) == 1 and all(i == 1 for i, t in kept if t in (say("a"), near))
 
 
-@pytest.mark.parametrize(("frequent", "dense", "stars"), [(48, (64, 20_000), 2), (2, (2, 20_000), 1), (48, (2, 20_000), 1), (48, (2, 20), 1)])
-def test_ngram_chains(spark, monkeypatch, frequent, dense, stars):
+@pytest.mark.parametrize(("frequent", "dense", "block", "cells"), [(48, 64, 1024, 256), (2, 2, 7, 256), (48, 2, 7, 1), (48, 2, 1024, 4)])
+def test_ngram_chains(spark, monkeypatch, frequent, dense, block, cells):
     """Chains whose ends don't link, and passages that many texts share."""
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
     monkeypatch.setattr(ngram_join, "DENSE", dense)
-    monkeypatch.setattr(ngram_join, "STARS", stars)
-    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "PART", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "CELLS", cells)
+    monkeypatch.setattr(ngram_join, "PAIRS", 50)
     monkeypatch.setattr(ngram_join, "LOCAL", 2)
     r, rows = random.Random(2), []
     base = [r.choice(WORDS) + str(i) for i in range(120)]
@@ -195,6 +197,32 @@ def test_ngram_chains(spark, monkeypatch, frequent, dense, stars):
     assert by_id(ngram_join.near_components(df), "n_shingles", "component_id") == brute_components(rows)
 
 
+def test_overlaps_and_forest(monkeypatch):
+    import numpy as np
+
+    r = random.Random(8)
+    for cells in (0, 3, 1000):
+        monkeypatch.setattr(ngram_join, "CELLS", cells)
+        monkeypatch.setattr(ngram_join, "COLUMNS", 4)
+        monkeypatch.setattr(ngram_join, "PAIRS", 10)
+        left, right = ([np.array(sorted(r.sample(range(40), r.randrange(12))), np.uint64) for _ in range(n)] for n in (9, 6))
+        want = [[len(set(a.tolist()) & set(b.tolist())) for b in right] for a in left]
+        assert ngram_join.overlaps(left, right).tolist() == want
+    for _ in range(40):
+        n = 30
+        a, b = (np.array([r.randrange(n) for _ in range(40)]) for _ in "ab")
+        parts = np.array([r.randrange(12) for _ in range(n)])
+        keep = ngram_join.forest(a, b, parts)
+
+        def groups(places, a=a, b=b, parts=parts, n=n):
+            up = parts.copy()
+            for i in places:
+                up[up == up[b[i]]] = up[a[i]]
+            return [up.tolist().index(x) for x in up.tolist()]
+
+        assert groups(keep) == groups(range(40)) and len(keep) <= 24
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(r.randrange(200), r.randrange(200)) for _ in range(130)] + [(300 + i, 301 + i) for i in range(40)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,16 +19,19 @@ TOKEN = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set (tests)."""
+    """The shared folder that the cluster names. Where none is set, a temporary one serves in local mode,
+    as all tasks run in the driver there; a cluster would lose what is written to it, so there this raises."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    known = sc._jsc.sc().getCheckpointDir()
     if path:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not known.isDefined():
             sc.setCheckpointDir(path)
         return path
-    known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="vaultflow-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -37,7 +41,17 @@ def materialize(df: DataFrame) -> DataFrame:
     lost executors cost nothing, and the planner knows the size."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/vf-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what materialize wrote; nothing that is still to run may read it."""
+    for df in written:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:
