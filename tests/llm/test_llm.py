@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -70,14 +71,49 @@ def brute_spans(texts, length):
 
 
 @pytest.mark.parametrize("hot", [20_000, 2])
-def test_suffix_dedup(odd, none, hot):
-    got = by_id(suffix_dedup.dedup_documents(clashing(odd), 60, 15, hot), "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    rows = odd_rows()
-    want = brute_spans([(r[1] or "").encode() for r in rows], 60)
-    assert got == sorted(((r[0], *w) for r, w in zip(rows, want, strict=True)), key=repr)
+def test_suffix_dedup(spark, odd, none, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "RUN", 50)
+    more = [(70, "ab" * 700, "en", "a", 1), (71, "x" * 90 + " " + "y" * 59, "en", "a", 1), (72, "abcdefghij" * 50 + " end " + "abcdefghij" * 20, "en", "a", 1)]
+    docs = odd.union(spark.createDataFrame(more, DOCS)).repartition(3)
+    got = by_id(suffix_dedup.dedup_documents(clashing(docs), 60, 40, 15, hot), "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats")
+    rows = odd_rows() + more
+    data = [(r[1] or "").encode() for r in rows]
+    want = brute_spans(data, 60)
+    told = [any(len(x.split()) > 50 for x in brute_runs(b, data, 40)) for b in data]
+    assert got == sorted(((r[0], *w, t) for r, w, t in zip(rows, want, told, strict=True)), key=repr)
     assert suffix_dedup.dedup_documents(none).count() == 0
 
 
+def brute_runs(b, texts, length):
+    seen = collections.Counter(x[i : i + length] for x in texts for i in range(len(x) - length + 1))
+    cover = [False] * len(b)
+    for i in range(len(b) - length + 1):
+        if seen[b[i : i + length]] > 1:
+            cover[i : i + length] = [True] * length
+    return [bytes(x for x, _ in run) for c, run in ((k, list(g)) for k, g in itertools.groupby(zip(b, cover, strict=True), key=lambda x: x[1])) if c]
+
+
+@pytest.mark.parametrize("unit", ["a", "ab", "0123456789"])
+def test_suffix_dedup_of_periods(unit):
+    """A long periodic text makes a row for RUN suffixes, and all its suffixes are found."""
+    import numpy as np
+    import pyarrow as pa
+
+    text = unit * (1_000_000 // len(unit))
+    batch = pa.RecordBatch.from_pydict({"text": [text], "t1": [1], "t2": [2]})
+    rows = pa.Table.from_batches(suffix_dedup.anchor_rows(240, 48)(iter([batch]))).to_pylist()
+    n = sum(r["last"] - r["first"] + 1 for r in rows)
+    assert n == len(text) - 239 and len(rows) <= len(text) / 10_000 + 2 and all(r["several"] for r in rows)
+    batch = pa.RecordBatch.from_pydict({"text": [text], "t1": [1], "t2": [2], "rows": [[{"h": r["h"], "hot": False, "first": r["first"], "last": r["last"]} for r in rows]]})
+    pieces = pa.Table.from_batches(suffix_dedup.cut_out(400)(iter([batch]))).sort_by("h").to_batches()
+    spans = pa.Table.from_batches(suffix_dedup.sort_groups(400, 240)(iter(pieces))).to_pylist()
+    cover = np.zeros(len(text), bool)
+    for s in spans:
+        if s["full"]:
+            cover[s["from"] : s["to"]] = True
+    assert cover.all()
+
+
 # ---- decontamination
 BENCH = [(1, " ".join(WORDS[:30])), (2, "One, TWO"), (3, None), (4, "..."), (5, " ".join(WORDS[5:18])), (6, " ".join(WORDS[:30]))]
 

@@ -7,8 +7,7 @@ from .common import tables
 
 
 def op1_suffix_dedup(spark, sf_dir):
-    out = suffix_dedup.dedup_documents(tables(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup.dedup_documents(tables(spark, sf_dir, "documents"))
 
 
 def op2_decontamination(spark, sf_dir):
