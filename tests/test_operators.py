@@ -138,16 +138,25 @@ def test_mentions():
     assert mentions.put_links("a Context b", [(2, "Context"), (9, "zz")]) == "a [[Context]] b"
 
 
-def test_schema_rules():
+def test_schema_rules(spark):
     md = "# Tags\n- `hermes`\n## Frontmatter\n| field | required |\n|---|---|\n| title | yes |\n- `owner`: optional text\n```yaml\nupdated: YYYY-MM-DD\ntags: [x]\n```\n"
-    assert [(r["name"], r["required"], r["kind"]) for r in schema.parse_rules(md)] == [("title", True, "any"), ("owner", False, "string"), ("updated", True, "date"), ("tags", True, "list")]
+    bare = "- `id`: number, always\n* **when** a date\n+ plain: a list, if present\n- just words\n```\nno: 1\n```\n| x |\n| Status | n | text |\n"
+    files = spark.createDataFrame([("a", md), ("b", bare), ("c", None), ("d", "# Fields\n" + "\n".join(f"- f{i}:" for i in range(40)) + "\n- `f1`: date")], "vault string, text string")
+    got = {}
+    for r in schema.schema_rules(files).orderBy("vault", "ord").collect():
+        got.setdefault(r.vault, []).append((r.name, r.required, r.kind))
+    assert got["a"] == [("title", True, "any"), ("owner", False, "string"), ("updated", True, "date"), ("tags", True, "list")]
+    assert got["b"] == [("id", True, "any"), ("when", True, "date"), ("plain", False, "list"), ("Status", False, "string")]
+    assert got["d"] == [(f"f{i}", True, "any") for i in range(24)] and "c" not in got
 
 
 def test_ingest(spark):
     title, md = ingest.html_page("<title>t</title><nav>n</nav><article><h1>A &amp; B</h1><p>x <b>y</b> <a href='#z'>z</a><a href=\"https://q\">q</a></p><ul><li>i</li></ul></article>")
     assert title == "A & B" and "**y**" in md and "[q](https://q)" in md and "- i" in md and "# A" not in md and "n" not in md.split()
-    assert ingest.transcript_markdown("Ann: a\nAnn: b\nBob: c") == "_2 speakers: Ann, Bob._\n\n**Ann**\n\na b\n\n**Bob**\n\nc"
-    assert ingest.transcript_markdown("no labels here") == "no labels here"
+    assert ingest.html_page("<h1>T</h1><main><h1>T</h1><h2>a <code>b</code></h2><p>x<br>y</p><pre>p <b>q</b></pre><ul><li>i <a href='//l'>k</a></li></ul></main>") == ("T", "## a b\n\nx\ny\n\n```\np q\n```\n\n- i [k](//l)")
+    assert ingest.html_page("<nav>n<p>a</p>") == ("Untitled", "n\na") and ingest.html_page(None) == ("Untitled", "")
+    raw = spark.createDataFrame([(1, "intro\nAnn: a\n[00:01] Ann: b\nmore\n\nBob: c"), (2, " no labels here ")], "conv_id int, text string")
+    assert {r.conv_id: r.text for r in ingest.structure_transcripts(raw).collect()} == {1: "_2 speakers: Ann, Bob._\n\n**Ann**\n\na b more\n\n**Bob**\n\nc", 2: "no labels here"}
     assert ingest.stamp("x", "2024-01-01") == "---\nverified_on: 2024-01-01\n---\n\nx"
     assert ingest.stamp("---\na: 1\nverified_on: 2023-01-01\n---\nx", "2024-01-01") == "---\na: 1\nverified_on: 2024-01-01\n---\nx"
     assert ingest.stamp("---\nverified_on: 2023-01-01\n---\nx", None) == "x"
