@@ -1,11 +1,14 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is read into blocks: runs of text between block-level tags. A linear classifier over a
-block's place (article, main, navigation, ...), the names in class, id and role of the elements around it, the
-share of link text and the length gives a cost: capacity from the source where the block looks
-like content, to the sink where it looks like boilerplate. Neighbouring blocks and blocks of one
-parent are joined by smoothness edges. The minimum cut, found by maximum flow, labels the blocks; those
-on the source's side are the text.
+A page is read into blocks: runs of text between block-level tags. The graph's nodes are the blocks and the elements
+that hold them. Classifier costs are the terminal capacities, from the source where something looks like content, to
+the sink where it looks like boilerplate: a block's cost comes from its own text alone (length, share of link text, sentence
+end, kind of paragraph), an element's from what it says of itself (article, main, navigation; names in class, id and role),
+times the blocks that it holds. Smoothness edges join each block to its element, each element to the one around it (DOM
+proximity; weak where an element says what it is, since there the page itself draws a border), and blocks that follow each other
+(adjacency). The minimum cut, found by maximum flow, labels all nodes at once; blocks on the source's side are the text. So
+no single name decides: a heading of three words is text because an article holds it, a well-written advert is
+none because its element outweighs its words, and an article stays one in a container with a doubtful name.
 
 Defined cases: null or empty html gives an empty text; a comment, script or tag without an end runs to the end of
 the page; a page without article or main is judged by its blocks alone; nothing is dropped for its
@@ -15,7 +18,7 @@ length; repeated pages are extracted alike; an empty table gives no rows; other
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -35,186 +38,235 @@ BLOCKS = frozenset(
 )
 #: Elements that end an open one of the same kind, and where looking for it stops.
 ENDS = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"})}
+#: Elements and roles that hold no text of the page, whatever is in them.
 AWAY = frozenset("nav footer aside form menu dialog search".split())
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar form toolbar status".split())
+#: Names of the same kind, names that may mean it, and names that speak for text.
 AWAY_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline captcha comment comments consent cookie cookies disqus discussion footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup promo promotion related recommended replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe taboola toolbar widget widgets".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs captcha comment comments consent cookie cookies disqus gdpr nav navbar navigation newsletter outbrain pagination popup promo promotion related recommended replies respond sidebar signup skip sponsor sponsored subscribe taboola".split()
 )
+DOUBTFUL_NAMES = frozenset("byline discussion footer form header login masthead menu modal notice notices notification overlay pager reply search share sharing social toolbar widget widgets".split())
 NEAR_NAMES = frozenset("article body content entry main post story text".split())
-#: Weights of the classifier.
-IN_ARTICLE, IN_MAIN, OUTSIDE, OPEN, AWAY_COST, NEAR_NAME, LINKS, PARAGRAPH, HEADING, LONG, SHORT = 3.0, 2.0, -3.0, 0.5, -9.0, 1.0, -4.0, 0.5, 0.4, 1.5, -0.4
-#: Smoothness: neighbours of one parent, other neighbours, next blocks of one parent.
-SAME, NEXT, SIBLING = 0.6, 0.25, 0.4
+#: Costs of an element for each block in it.
+IN_ARTICLE, IN_MAIN, NEAR, DOUBTFUL, AWAY_COST, HEADER, HIDDEN, OUTSIDE, PLAIN = 3.0, 2.5, 1.0, -3.0, -4.5, -2.5, -6.0, -2.0, 0.3
+#: Costs of a block: for being one, up to so much for words, for link text, a sentence's end, a paragraph, a heading.
+BLOCK, WORDS, LINKS, SENTENCE, PARAGRAPH, HEADING = -0.6, 1.2, -2.2, 0.4, 0.3, 0.2
+FULL_WORDS = 15
+#: Smoothness: a block and its element; for each block, an element and the one around it, and where it says what it is; neighbours of one
+#: element, others. LOOSE takes the place of the first two at the root of a page without article or main, which says nothing.
+HOLDS, AROUND, BORDER, SAME, NEXT, LOOSE = 3.0, 2.6, 0.15, 0.5, 0.1, 0.3
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+ENDING = re.compile(r"[.!?…:;][\"'”’»)\]]*$")
 
 
-class Place:
-    """What holds for all text under an element."""
+class Element:
+    """An open element and what holds for all text under it. node: the number of the next element around it that is in the graph."""
 
-    __slots__ = ("tag", "block", "article", "main", "away", "near", "link", "parent")
+    __slots__ = ("tag", "block", "node", "link", "article", "main", "away")
 
-    def __init__(self, tag, block, article, main, away, near, link, parent):
-        self.tag, self.block, self.article, self.main, self.away, self.near, self.link, self.parent = tag, block, article, main, away, near, link, parent
+    def __init__(self, tag, block, node, link, article, main, away):
+        self.tag, self.block, self.node, self.link, self.article, self.main, self.away = tag, block, node, link, article, main, away
 
 
-def under(above: Place, tag: str, rest: str, number: int) -> Place:
-    article, main, away, near = above.article, above.main, above.away, above.near
-    block = tag in BLOCKS
+def says(tag: str, rest: str, above: Element) -> tuple[float, bool]:
+    """What an element says of itself: a cost, and whether nothing in it can be text."""
+    value, away = 0.0, False
     if tag == "article":
-        article = True
+        value = IN_ARTICLE
     elif tag == "main":
-        main = True
-    elif tag in AWAY or (tag == "header" and not article):
-        away = True
-    if rest and ("=" in rest or "hidden" in rest):
+        value = IN_MAIN
+    elif tag in AWAY:
+        value, away = AWAY_COST, True
+    elif tag == "header" and not above.article:
+        value = HEADER
+    if "=" in rest or "hidden" in rest:
         for name, a, b, c in ATTRIBUTE.findall(rest):
-            name, value = name.lower(), a or b or c
+            name, text = name.lower(), a or b or c
             if name in ("class", "id") and tag not in ("html", "body", "main"):
-                names = {x.lower() for x in NAME.findall(value)}
-                if names & AWAY_NAMES and not (tag == "article" and not names & {"comment", "comments", "related", "promo", "ad", "ads"}):
-                    away = True
-                elif names & NEAR_NAMES:
-                    near = True
+                names = {x.lower() for x in NAME.findall(text)}
+                if names & AWAY_NAMES:
+                    value, away = min(value, AWAY_COST), True
+                elif names & DOUBTFUL_NAMES:
+                    value = min(value, DOUBTFUL) if tag != "article" else value
+                elif names & NEAR_NAMES and not value:
+                    value = NEAR
             elif name == "role":
-                if value.lower() in AWAY_ROLES:
-                    away = True
-                elif value.lower() in ("main", "article"):
-                    main = True
-            elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-                away = True
-    return Place(tag, block, article, main, away, near, above.link or tag == "a", number if block else above.parent)
-
-
-def blocks(html: str) -> list[tuple[str, Place, int]]:
-    """(text, place, characters of links) of each block, in page order."""
-    out: list[tuple[str, Place, int]] = []
-    stack = [Place("", True, False, False, False, False, False, 0)]
-    parts: list[str] = []
-    linked, at, number, where = 0, 0, 0, stack[0]
-
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join(unescape("".join(parts)).split())
-            if text:
-                out.append((text, where, linked))
-            parts.clear()
-        linked = 0
-
-    find, lower = TOKEN.search, None
-    while m := find(html, at):
-        if m.start() > at:
-            if not parts or not html[at : m.start()].isspace():
-                if not any(not p.isspace() for p in parts):
-                    where = stack[-1]
-            parts.append(html[at : m.start()])
-            if stack[-1].link:
-                linked += m.start() - at
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m[1]:
-            if tag in BLOCKS:
-                flush()
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-            else:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
+                role = text.lower()
+                if role in AWAY_ROLES:
+                    value, away = AWAY_COST, True
+                elif role in ("main", "article"):
+                    value = max(value, IN_MAIN)
+            elif name == "hidden" or (name == "aria-hidden" and text.lower() == "true") or (name == "style" and HIDING.search(text)):
+                value, away = HIDDEN, True
+    return value, away
+
+
+class Page:
+    """Blocks (text, tag, characters of links, element) in page order, and the elements (around it, cost, in article or main) of a page."""
+
+    def __init__(self, html: str):
+        self.blocks: list[tuple[str, str, int, int]] = []
+        self.around, self.costs, self.framed = [0], [0.0], [False]
+        self.stack = [Element("", True, 0, False, False, False, False)]
+        #: How often each tag is open in all, and since the innermost block.
+        self.open: Counter = Counter()
+        self.inline: list[Counter] = [Counter()]
+        self.read(html)
+
+    def push(self, tag: str, rest: str) -> None:
+        above, block = self.stack[-1], tag in BLOCKS
+        value, away = says(tag, rest, above)
+        if above.away:  # already no text: nothing in it speaks for text
+            value = min(value, 0.0)
+        article, main = above.article or tag == "article", above.main or tag == "main"
+        node = above.node
+        if block or value:
+            node = len(self.around)
+            self.around.append(above.node)
+            self.costs.append(value)
+            self.framed.append((article or main) and not (away or above.away))
+        self.stack.append(Element(tag, block, node, above.link or tag == "a", article, main, above.away or away))
+        self.open[tag] += 1
+        if block:
+            self.inline.append(Counter())
+        else:
+            self.inline[-1][tag] += 1
+
+    def pop(self) -> str:
+        e = self.stack.pop()
+        self.open[e.tag] -= 1
+        if e.block:
+            self.inline.pop()
+        else:
+            self.inline[-1][e.tag] -= 1
+        return e.tag
+
+    def close(self, tag: str) -> None:
+        if self.open[tag] if tag in BLOCKS else self.inline[-1][tag]:
+            while self.pop() != tag:
+                pass
+
+    def close_implied(self, tag: str) -> None:
+        """A block ends an open paragraph, and an item the one before it."""
+        if self.stack[-1].block:
+            if self.stack[-1].tag == "p":
+                self.pop()
+        elif self.open["p"]:
+            i = len(self.stack) - 1
+            while not self.stack[i].block:
+                i -= 1
+            if self.stack[i].tag == "p":
+                self.close("p")
+        if tag in ENDS:
+            same, stop = ENDS[tag]
+            same = same.split()
+            if any(self.open[x] for x in same):
+                for e in reversed(self.stack):
+                    if e.tag in same:
+                        self.close(e.tag)
                         break
-                    if stack[i].block:
+                    if e.tag in stop:
                         break
-            continue
-        if tag in DROPPED:
-            if m[3].endswith("/"):
-                continue
-            lower = lower or html.lower()
-            end = lower.find("</" + tag, at)
-            if end < 0:
-                at = len(html)
-                break
-            close = html.find(">", end)
-            at = len(html) if close < 0 else close + 1
-            continue
-        if tag == "br":
-            parts.append(" ")
-            continue
-        if tag in BLOCKS:
-            flush()
-            if tag == "hr":
+
+    def read(self, html: str) -> None:
+        parts: list[str] = []
+        linked, at, where, find = 0, 0, self.stack[0], TOKEN.search
+
+        def flush() -> None:
+            nonlocal linked
+            if parts:
+                text = " ".join(unescape("".join(parts)).split())
+                if text:
+                    self.blocks.append((text, where.tag, linked, where.node))
+                parts.clear()
+            linked = 0
+
+        blank = True
+        while m := find(html, at):
+            if m.start() > at:
+                piece = html[at : m.start()]
+                if blank and not piece.isspace():
+                    where, blank = self.stack[-1], False
+                parts.append(piece)
+                if self.stack[-1].link:
+                    linked += len(piece)
+            at = m.end()
+            if m[2] is None:
                 continue
-            for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].block:
-                    break
-            if tag in ENDS:
-                same, stop = ENDS[tag]
-                same = same.split()
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in same:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in stop:
-                        break
-        elif tag in VOID:
+            tag = m[2].lower()
+            if tag in DROPPED and not m[1]:
+                if not (tag in ("svg", "math") and m[3].endswith("/")):
+                    end = re.compile(f"</{re.escape(tag)}", re.I).search(html, at)
+                    close = html.find(">", end.end()) if end else -1
+                    at = len(html) if close < 0 else close + 1
+            elif tag == "br":
+                parts.append(" ")
+            elif m[1] or tag in BLOCKS:
+                if tag in BLOCKS:
+                    flush()
+                    blank = True
+                if m[1]:
+                    self.close(tag)
+                elif tag != "hr":
+                    self.close_implied(tag)
+                    self.push(tag, m[3])
+            elif tag not in VOID:
+                self.push(tag, m[3])
+        if at < len(html):
+            where = self.stack[-1] if blank else where
+            parts.append(html[at:])
+        flush()
+
+
+def text_cost(text: str, tag: str, linked: int) -> float:
+    """A block's own cost, over 0 for content: it knows nothing of the page around it."""
+    n = min(FULL_WORDS, len(WORD.findall(text[:400])))
+    z = BLOCK + WORDS * n / FULL_WORDS + LINKS * min(1.0, linked / max(1, len(text)))
+    if n >= 4 and ENDING.search(text[-12:]):
+        z += SENTENCE
+    return z + (PARAGRAPH if tag in ("p", "pre", "blockquote") else HEADING if tag in HEADINGS else 0.0)
+
+
+def graph(page: Page) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Terminal costs of the nodes, blocks first, and the smoothness edges."""
+    n, around, said = len(page.blocks), page.around, page.costs
+    held = [0] * len(around)
+    for *_, e in page.blocks:
+        held[e] += 1
+    framed = any(f and held[e] for e, f in enumerate(page.framed))
+    outside = sum(held[e] for e in range(len(around)) if not page.framed[e])
+    for e in range(len(around) - 1, 0, -1):  # an element comes after the one around it
+        held[around[e]] += held[e]
+    costs = [text_cost(text, tag, linked) for text, tag, linked, _ in page.blocks]
+    costs.append(OUTSIDE * outside if framed else PLAIN * n)
+    number, edges = [n], []
+    root = {n: LOOSE} if not framed else {}
+    for e in range(1, len(around)):
+        up = number[around[e]]
+        if not held[e] or (not said[e] and held[e] == held[around[e]]):  # empty, or with nothing to say and alone in the one around it
+            number.append(up)
             continue
-        number += 1
-        stack.append(under(stack[-1], tag, m[3], number))
-    if at < len(html):
-        where = where if parts else stack[-1]
-        parts.append(html[at:])
-    flush()
-    return out
-
-
-def cost(text: str, place: Place, linked: int, framed: bool) -> float:
-    """Over 0: content; below: boilerplate."""
-    z = 0.0
-    if place.article:
-        z += IN_ARTICLE
-    elif place.main:
-        z += IN_MAIN
-    else:
-        z += OUTSIDE if framed else OPEN
-    if place.away:
-        z += AWAY_COST
-    if place.near:
-        z += NEAR_NAME
-    z += LINKS * min(1.0, linked / max(1, len(text)))
-    if place.tag in ("p", "pre", "blockquote"):
-        z += PARAGRAPH
-    elif place.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        z += HEADING
-    words = len(WORD.findall(text[:400]))
-    return z + (LONG if words >= 20 else 0.0 if words >= 8 or framed else SHORT)
-
-
-def edges(places: list[Place]) -> list[tuple[int, int, float]]:
-    out, last = [], {}
-    for i, p in enumerate(places):
+        number.append(len(costs))
+        costs.append(said[e] * held[e])
+        edges.append((up, number[e], held[e] * (BORDER if said[e] else root.get(up, AROUND))))
+    for i, (*_, e) in enumerate(page.blocks):
+        edges.append((number[e], i, root.get(number[e], HOLDS)))
         if i:
-            out.append((i - 1, i, SAME if places[i - 1].parent == p.parent else NEXT))
-        up = p.parent
-        if up in last and last[up] != i - 1:
-            out.append((last[up], i, SIBLING))
-        last[up] = i
-    return out
+            edges.append((i - 1, i, SAME if number[page.blocks[i - 1][3]] == number[e] else NEXT))
+    return costs, edges
+
+
+TINY = 1e-9
 
 
 def source_side(costs: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
     """Nodes on the source's side of the least minimum cut.
 
-    Flow through a node itself is already taken off, so a node has either supply or demand. Paths
-    are found from one supply at a time, breadth first; nodes that a failed search reached have no way to
-    the sink, now or later, and are the source's side."""
-    n = len(costs)
-    left = list(costs)
+    Flow through a node itself is already taken off, so a node has either supply or demand. In each phase a search from all
+    supplies numbers the nodes by their distance, and flow is pushed along shortest paths until none is left; when no
+    demand can be reached, the nodes that supplies still reach are the source's side."""
+    n, left = len(costs), list(costs)
     to: list[list[int]] = [[] for _ in range(n)]
     head: list[int] = []
     room: list[float] = []
@@ -225,49 +277,70 @@ def source_side(costs: list[float], links: list[tuple[int, int, float]]) -> list
         to[b].append(len(head))
         head.append(a)
         room.append(w)
-    out = [False] * n
-    for s in range(n):
-        while left[s] > 1e-9 and not out[s]:
-            by: dict[int, int] = {s: -1}
-            queue, end = deque([s]), -1
-            while queue:
-                a = queue.popleft()
-                if left[a] < -1e-9:
-                    end = a
+    while True:
+        far = [-1] * n
+        queue = [i for i in range(n) if left[i] > TINY]
+        for i in queue:
+            far[i] = 0
+        reached, end = False, n + 1
+        for a in queue:  # grows
+            if far[a] >= end:
+                continue
+            if left[a] < -TINY:
+                reached, end = True, far[a]
+                continue
+            for e in to[a]:
+                b = head[e]
+                if far[b] < 0 and room[e] > TINY:
+                    far[b] = far[a] + 1
+                    queue.append(b)
+        if not reached:
+            return [x >= 0 for x in far]
+        arc = [0] * n
+        for s in range(n):
+            path: list[int] = []
+            a = s
+            while left[s] > TINY and far[s] == 0:
+                if left[a] < -TINY and path:
+                    push = min(left[s], -left[a], min(room[e] for e in path))
+                    left[s] -= push
+                    left[a] += push
+                    cut = len(path)
+                    for i in range(len(path) - 1, -1, -1):
+                        e = path[i]
+                        room[e] -= push
+                        room[e ^ 1] += push
+                        if room[e] <= TINY:
+                            cut = i
+                    if cut == len(path) and left[a] < -TINY:
+                        continue
+                    # Go on from the tail of the first full edge, or one step back from a demand that is met.
+                    cut = min(cut, len(path) - 1)
+                    a = head[path[cut] ^ 1]
+                    del path[cut:]
+                    continue
+                own = to[a]
+                while arc[a] < len(own) and not (room[own[arc[a]]] > TINY and far[head[own[arc[a]]]] == far[a] + 1 and far[a] < end):
+                    arc[a] += 1
+                if arc[a] < len(own):
+                    e = own[arc[a]]
+                    path.append(e)
+                    a = head[e]
+                elif path:
+                    far[a] = n + 2  # a dead end in this phase
+                    a = head[path.pop() ^ 1]
+                else:
                     break
-                for e in to[a]:
-                    b = head[e]
-                    if room[e] > 1e-9 and b not in by and not out[b]:
-                        by[b] = e
-                        queue.append(b)
-            if end < 0:
-                for a in by:
-                    out[a] = True
-                break
-            push, a = min(left[s], -left[end]), end
-            while a != s:
-                push = min(push, room[by[a]])
-                a = head[by[a] ^ 1]
-            a = end
-            while a != s:
-                e = by[a]
-                room[e] -= push
-                room[e ^ 1] += push
-                a = head[e ^ 1]
-            left[s] -= push
-            left[end] += push
-    return out
+
+
+def labels(page: Page) -> list[bool]:
+    """Which blocks are content."""
+    return source_side(*graph(page))[: len(page.blocks)]
 
 
 def main_text(html: str | None) -> str:
-    found = blocks(html) if html else []
-    if not found:
-        return ""
-    places = [p for _, p, _ in found]
-    framed = any((p.article or p.main) and not p.away for p in places)
-    costs = [cost(t, p, n, framed) for t, p, n in found]
-    side = source_side(costs, edges(places))
-    return "\n\n".join(t for (t, _, _), content in zip(found, side, strict=True) if content)
+    page = Page(html or "")
+    return "\n\n".join(b[0] for b, content in zip(page.blocks, labels(page), strict=True) if content)
 
 
 def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
