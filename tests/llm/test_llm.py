@@ -347,38 +347,47 @@ def test_quality(spark, odd, none):
 def test_language_id(spark, odd, none):
     docs = tables(spark, "/root/testdata/sf0.1", "documents")
     out = langid.predict_documents(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
-    assert (out.lang == out.lang_pred).mean() > 0.98
+    assert (out.lang == out.lang_pred).mean() > 0.98 and out.score.between(0.25, 1).all() and out.score.std() > 0.001
     rows = {r.doc_id: r for r in langid.predict_documents(clashing(odd)).collect()}
     assert rows[40].lang_pred == rows[41].lang_pred == rows[44].lang_pred == "und" and rows[43].lang_pred in ("en", "de")
     assert langid.predict_documents(none).count() == 0 and {r.lang_pred for r in langid.predict(odd, langid.fit(none)).collect()} == {"und"}
 
 
 def test_code_lengths_are_a_tree_walk():
-    """Table look-ups equal the walk from the longest context with escapes."""
-    r = random.Random(1)
-    text = bytes(r.choice(b"abcab ") for _ in range(400))
-    fold = langid.folding([text])
+    """Table look-ups equal the walk from the longest context with escapes, for each byte."""
     import numpy as np
 
-    g = langid.gram_numbers(fold[np.frombuffer(text, np.uint8)], np.array([0, len(text)]))
-    bits = langid.context_bits(np.bincount(g, minlength=langid.SYMBOLS ** (langid.ORDER + 1)))
-    s = [0] * langid.ORDER + [int(fold[b]) for b in text]
-    seen = collections.defaultdict(collections.Counter)
-    for i in range(langid.ORDER, len(s)):
-        for k in range(langid.ORDER + 1):
-            seen[tuple(s[i - k : i])][s[i]] += 1
+    r = random.Random(1)
+    say = lambda letters, n: "".join(r.choice(letters) for _ in range(n)).encode()
+    texts = {"x": [say("abcab ", 400), say("ab", 50), b"a"], "y": [say("bcdé ж", 300)], "z": [say("中文字", 100)]}
+    model = langid.tables_of(texts)
 
-    def walk(context, symbol):
+    def walk(seen, context, symbol):
         c = seen.get(context)
         if c and symbol in c:
             return c[symbol] / (sum(c.values()) + len(c))
-        p = walk(context[1:], symbol) if context else 1 / langid.SYMBOLS
+        p = walk(seen, context[1:], symbol) if context else 1 / 256
         return p * len(c) / (sum(c.values()) + len(c)) if c else p
 
-    for number in [*g[:50], *(r.randrange(langid.SYMBOLS**3) for _ in range(200))]:
-        number = int(number)
-        context = (number // langid.SYMBOLS**2, number // langid.SYMBOLS % langid.SYMBOLS)
-        assert math.isclose(2 ** -bits[number], walk(context, number % langid.SYMBOLS), rel_tol=1e-9)
+    probes = [say("abcdé ж中", 60), b"", b"a", say("xyz", 9), b"\x00\xff", say("ab", 70)]
+    want = []
+    for lang in model.languages:
+        seen = collections.defaultdict(collections.Counter)
+        for t in texts[lang]:
+            for i in range(len(t)):
+                for k in range(min(i, langid.ORDER) + 1):
+                    seen[t[i - k : i]][t[i]] += 1
+        want.append([-sum(math.log2(walk(seen, p[max(0, i - langid.ORDER) : i], p[i])) for i in range(len(p))) for p in probes])
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in probes])]).astype(np.int64)
+    got = model.code_lengths(np.frombuffer(b"".join(probes), np.uint8), offsets)
+    assert np.allclose(got.T, want, rtol=1e-4)
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(i % 40, f"text {i % 40} of few words", "aa", None, 1) for i in range(400)] + [(1000 + i, "ein Text", f"l{i}", None, 1) for i in range(9)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert len(langid.fit(docs, per_language=3, most_languages=4).languages) <= 4
+    assert langid.fit(docs, texts=0).languages == []
 
 
 # ---- mixing

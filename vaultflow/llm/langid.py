@@ -3,16 +3,18 @@
 For each language a byte context tree holds how often each byte followed each context of up to
 ORDER bytes. A byte's code length in the longest context that has it is that of its share there;
 each context that lacks it costs an escape, with a probability that grows with the number of
-different bytes seen there (PPM method C); below order 0 all bytes are equally likely. The statistics are frozen after
-training, so the code lengths of all (context, byte) pairs are worked out once into a table, and a text's
-code length is a sum of look-ups. The shortest code names the language; the score is the language's
-posterior probability, 2 ** -length against the sum over languages.
+different bytes seen there (PPM method C); below order 0 all 256 bytes are equally likely. The statistics are frozen after
+training, so the code lengths of all (context, byte) pairs that any language has seen are worked out once into hash
+tables of whole keys, a row of languages each, and a text's exact code length is a sum of look-ups: the longest pair that is known, and
+the escapes of the contexts before it. The shortest code names the language.
 
-Bytes are folded to at most SYMBOLS symbols: letters without case, white space, digits, other ASCII,
-and the most frequent bytes beyond ASCII.
+The score is the language's posterior probability, 2 ** -length against the sum over languages, for SPAN bytes of the text's mean
+code length (for the whole text where it is shorter): so it tells how clear the text is, where that of a long
+text as a whole would always be 1.
 
-The fit reads a bounded sample: at most ``per_language`` texts of each language (those with the least hash of
-doc_id) of at most ``max_bytes`` bytes. Every text is scored whole.
+The fit reads a bounded sample: the ``most_languages`` languages with the most texts, of each at most ``per_language`` texts and
+``texts`` in all (those with the least hash of doc_id; of a doc_id that repeats one text) of at most ``max_bytes`` bytes. Every text is
+scored whole.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; ties go to the first
 language in order; without any training text all are ``und``; repeated rows are scored alike; an empty table
@@ -31,91 +33,144 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .quality import held_out
-from .texthash import chunks, text_bytes
+from .texthash import U, chunks, text_bytes
+
+ORDER, SPAN = 4, 16
+PER_LANGUAGE, TEXTS, MOST_LANGUAGES, MAX_BYTES = 1500, 20_000, 128, 8192
+#: Cells (bytes times languages) that are summed at a time.
+CELLS = 1 << 22
+
+
+class Places:
+    """The place of each of some distinct keys, by open addressing, for many keys at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.bits = keys, max(4, int(4 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        rest, at = np.arange(len(keys)), self.first(keys)
+        while len(rest):
+            free = np.flatnonzero(self.slots[at] < 0)
+            slot, i = np.unique(at[free], return_index=True)
+            self.slots[slot] = rest[free[i]]
+            left = np.ones(len(rest), bool)
+            left[free[i]] = False
+            rest, at = rest[left], (at[left] + 1) & (len(self.slots) - 1)
+
+    def first(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys, -1 for those that aren't held."""
+        at = self.first(keys)
+        out = self.slots[at]
+        if not len(self.keys):
+            return out
+        rest = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & (len(self.slots) - 1)
+            out[rest] = self.slots[at[rest]]
+            rest = rest[(out[rest] >= 0) & (self.keys[out[rest]] != keys[rest])]
+        return out
+
+
+def grams(data: np.ndarray, k: int) -> np.ndarray:
+    """The last k + 1 bytes at each place as one number; before the first byte there are zeros."""
+    out = np.zeros(len(data), U)
+    for j in range(k + 1):
+        out[j:] |= data[: len(data) - j].astype(U) << U(8 * j)
+    return out
+
 
-ORDER, SYMBOLS = 2, 64
-PER_LANGUAGE, MAX_BYTES = 1500, 32_768
+def ages(offsets: np.ndarray) -> np.ndarray:
+    """Bytes of the same text before each place."""
+    return np.arange(offsets[-1]) - np.repeat(offsets[:-1], np.diff(offsets))
 
 
 @dataclass
 class Model:
     languages: list[str]
-    fold: np.ndarray
-    #: Bits of (context, symbol), a column for each language.
-    bits: np.ndarray
+    #: For each order the pairs of context and byte, and bits of each in each language.
+    pairs: list[Places]
+    bits: list[np.ndarray]
+    #: For each order the contexts, and bits of an escape from each.
+    contexts: list[Places]
+    escapes: list[np.ndarray]
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each text in each language. Contexts do not reach before a text's start."""
         out = np.zeros((len(offsets) - 1, len(self.languages)))
-        for i, j in chunks(offsets, 1 << 20):
-            s = gram_numbers(self.fold[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i])
-            if not len(s):
-                continue
-            at = (offsets[i:j] - offsets[i]).astype(np.int64)
-            full = offsets[i + 1 : j + 1] > offsets[i:j]
-            out[i:j][full] = np.add.reduceat(self.bits[s].astype(np.float64), at[full], axis=0)
+        for i, j in chunks(offsets, max(1 << 14, CELLS // len(self.languages))):
+            own = offsets[i : j + 1] - offsets[i]
+            full = np.flatnonzero(np.diff(own))
+            if len(full):
+                cost = self.costs(data[offsets[i] : offsets[j]], ages(own))
+                out[i + full] = np.add.reduceat(cost, own[:-1][full], axis=0, dtype=np.float64)
         return out
 
-
-def gram_numbers(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The number of the last ORDER + 1 symbols at each place; symbol 0 stands before a text."""
-    s = symbols.astype(np.int64)
-    out = s.copy()
-    starts = offsets[:-1][offsets[1:] > offsets[:-1]]
-    for k in range(1, ORDER + 1):
-        back = np.zeros(len(s), np.int64)
-        back[k:] = s[:-k] if k < len(s) else s[:0]
-        for d in range(k):
-            inside = starts + d
-            back[inside[inside < len(s)]] = 0
-        out += back * SYMBOLS**k
-    return out
-
-
-def folding(texts: list[bytes]) -> np.ndarray:
-    """Symbol of each byte; 0 is kept for what stands before a text."""
-    fold = np.full(256, 3, np.int64)
-    for b in b" \t\n\r\x0b\x0c":
-        fold[b] = 1
-    fold[48:58] = 2
-    fold[97:123] = fold[65:91] = np.arange(4, 30)
-    counts = np.zeros(256, np.int64)
-    for t in texts:
-        counts += np.bincount(np.frombuffer(t, np.uint8), minlength=256)
-    high = sorted((b for b in range(128, 256) if counts[b]), key=lambda b: (-counts[b], b))
-    fold[128:] = 30
-    for i, b in enumerate(high[: SYMBOLS - 31]):
-        fold[b] = 31 + i
-    return fold
-
-
-def context_bits(counts: np.ndarray) -> np.ndarray:
-    """Code lengths of all (context, symbol) pairs of the tree with these counts at full order."""
-    p = np.full(SYMBOLS, 1 / SYMBOLS)
+    def costs(self, data: np.ndarray, age: np.ndarray) -> np.ndarray:
+        """Bits of each byte in each language."""
+        cost = np.zeros((len(data), len(self.languages)), np.float32)
+        whole, todo = grams(data, ORDER), np.arange(len(data))
+        for k in range(ORDER, -1, -1):
+            here = age[todo] >= k
+            now = todo[here]
+            key = whole[now] & U((1 << 8 * (k + 1)) - 1)
+            at = self.pairs[k].find(key)
+            known = at >= 0
+            cost[now[known]] += self.bits[k][at[known]]
+            now, at = now[~known], self.contexts[k].find(key[~known] >> U(8))
+            cost[now[at >= 0]] += self.escapes[k][at[at >= 0]]
+            todo = np.sort(np.concatenate([todo[~here], now])) if k else now
+        cost[todo] += 8
+        return cost
+
+
+def tables_of(texts: dict[str, list[bytes]]) -> Model:
+    """The model of some texts of each language."""
+    languages = sorted(texts)
+    seen = []
+    for x in languages:
+        data = np.frombuffer(b"".join(texts[x]), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts[x]])]).astype(np.int64)
+        seen.append((grams(data, ORDER), ages(offsets)))
+    model, size = Model(languages, [], [], [], []), len(languages)
     for k in range(ORDER + 1):
-        n = counts.reshape(-1, SYMBOLS**k, SYMBOLS).sum(axis=0).astype(float)
-        total, kinds = n.sum(axis=1, keepdims=True), (n > 0).sum(axis=1, keepdims=True)
-        # The shorter context lacks the first symbol of this one.
-        shorter = np.tile(p.reshape(-1, SYMBOLS), (SYMBOLS if k else 1, 1)) if k else p.reshape(1, SYMBOLS)
-        weight = np.where(total > 0, total + kinds, 1)
-        p = np.where(n > 0, n / weight, np.where(total > 0, kinds / weight, 1.0) * shorter)
-    return -np.log2(p).ravel()
-
-
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_bytes: int = MAX_BYTES) -> Model:
-    usable = docs.filter("lang is not null and doc_id is not null").filter(~held_out(F.col("doc_id"), 3, 1)).filter(F.octet_length("text").between(1, max_bytes))
-    ids = usable.select("doc_id", "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("k") <= per_language)
-    rows = usable.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"]).select("lang", "text").collect()  # per_language a language
-    languages = sorted({r["lang"] for r in rows})
-    texts = {x: [r["text"].encode() for r in rows if r["lang"] == x] for x in languages}
-    fold = folding([t for own in texts.values() for t in own])
-    bits = []
-    for own in texts.values():
-        counts = np.zeros(SYMBOLS ** (ORDER + 1), np.int64)
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in own])])
-        counts += np.bincount(gram_numbers(fold[np.frombuffer(b"".join(own), np.uint8)], offsets), minlength=len(counts))
-        bits.append(context_bits(counts))
-    return Model(languages, fold, np.column_stack(bits).astype(np.float32) if bits else np.zeros((SYMBOLS ** (ORDER + 1), 0), np.float32))
+        own = [np.unique(g[age >= k] & U((1 << 8 * (k + 1)) - 1), return_counts=True) for g, age in seen]
+        keys = np.unique(np.concatenate([x for x, _ in own] or [np.zeros(0, U)]))
+        n = np.zeros((len(keys), size))
+        for j, (x, count) in enumerate(own):
+            n[np.searchsorted(keys, x), j] = count
+        contexts, of = np.unique(keys >> U(8), return_inverse=True)
+        total, kinds = np.zeros((len(contexts), size)), np.zeros((len(contexts), size))
+        np.add.at(total, of, n)
+        np.add.at(kinds, of, n > 0)
+        escape = np.where(total > 0, np.log2((total + kinds) / np.maximum(kinds, 1), where=total > 0, out=np.zeros_like(total)), 0.0)
+        shorter = model.bits[-1][np.searchsorted(model.pairs[-1].keys, keys & U((1 << 8 * k) - 1))] if k else 8.0
+        share = np.log2((total + kinds)[of] / np.maximum(n, 1), where=n > 0, out=np.zeros_like(n))
+        bits = np.where(n > 0, share, escape[of] + shorter)
+        model.pairs.append(Places(keys))
+        model.bits.append(bits.astype(np.float32))
+        model.contexts.append(Places(contexts))
+        model.escapes.append(escape.astype(np.float32))
+    return model
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, texts: int = TEXTS, most_languages: int = MOST_LANGUAGES, max_bytes: int = MAX_BYTES) -> Model:
+    """A model from (doc_id, text, lang) of documents that aren't held out."""
+    usable = docs.select("doc_id", "lang", "text").filter("lang is not null and doc_id is not null").filter(~held_out(F.col("doc_id"), 3, 1)).filter(F.octet_length("text").between(1, max_bytes))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    each = min(per_language, texts // max(1, len(counts)))
+    # Some twice as many as wanted are let through by their hash alone, then counted; so no language meets in one task.
+    rates = docs.sparkSession.createDataFrame([(r["lang"], 2 * each / r["n"]) for r in counts], "lang string, rate double")
+    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    some = usable.join(F.broadcast(rates), "lang").withColumn("place", place).filter("place < rate")  # a row a language
+    ids = some.select("lang", "doc_id", "place").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))).filter(F.col("k") <= each)
+    rows = some.join(F.broadcast(ids.select("lang", "doc_id")), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()  # texts rows at most
+    found: dict[str, list[bytes]] = {}
+    for r in sorted(rows):
+        found.setdefault(r["lang"], []).append(r["text"].encode())
+    return tables_of(found)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -128,7 +183,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             if model.languages:
                 bits = model.code_lengths(data, offsets)
                 best = bits.argmin(axis=1)
-                score = 1 / np.exp2(np.clip(bits.min(axis=1, keepdims=True) - bits, -1000, 0)).sum(axis=1)
+                share = SPAN / np.maximum(np.diff(offsets), SPAN)
+                score = 1 / np.exp2(np.clip((bits.min(axis=1, keepdims=True) - bits) * share[:, None], -1000, 0)).sum(axis=1)
             known = [bool(x) and bool(model.languages) for x in letters]
             lang = [model.languages[best[i]] if k else "und" for i, k in enumerate(known)]
             value = [float(score[i]) if k else 0.0 for i, k in enumerate(known)]
