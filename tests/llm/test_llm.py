@@ -323,6 +323,7 @@ def test_url_filters(spark, monkeypatch, most):
     blocked = [f"bad{i}.net" for i in range(60)] + ["Q.example".lower()]
     urls = [None, "", "no scheme", "http://", "HTTP://Bad1.NET", "x://a.bad2.net:80/p?q#f", "https://org/", "https://a.org", "https://x.example.org/es/1", "https://example.org/en/12", "http://b.com/fr/x", "http://b.com/de/x?y=/fr/", "http://a?u=http://bad3.net/"]
     urls += [f"http://{r.choice(['', 'www.', 'm.'])}{r.choice(['bad', 'ok'])}{r.randrange(90)}.net/p{i}" for i in range(600)]
+    urls += ["http://" + "a." * 8000 + "bad3.net/", "http://" + "a." * 8000 + "ok3.net/", "http://" + "x" * 9000 + "bad3.net", "http://.bad4.net", "http://bad4.net."]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(0, None)], "page_id long, url string")
     out = url_filters.judge(clashing(pages), spark.createDataFrame([(b,) for b in blocked], "domain string"))
     got = {(x.page_id, x.host, x.path, x.rule, x.verdict) for x in out.collect()}
@@ -330,6 +331,15 @@ def test_url_filters(spark, monkeypatch, most):
     assert url_filters.judge(pages.limit(0), spark.createDataFrame([("x",)], "domain string")).count() == 0
 
 
+def test_filter_bytes(spark, monkeypatch):
+    """Rows of a filter are put together in order, and what was put in is found."""
+    monkeypatch.setattr(url_filters, "SEGMENT", 64)
+    keys = spark.range(300).select(F.concat(F.lit("k"), "id").alias("key"))
+    data = url_filters.build_filter(keys, 0, 3008)
+    assert len(data) == 376 and keys.filter(url_filters.in_filter(F.col("key"), 0, data)).count() == 300
+    assert spark.range(1000, 3000).select(F.concat(F.lit("k"), "id").alias("key")).filter(url_filters.in_filter(F.col("key"), 0, data)).count() < 100
+
+
 # ---- classifiers
 def test_quality(spark, odd, none):
     docs, labels = tables(spark, "/root/testdata/sf0.1", "documents"), tables(spark, "/root/testdata/sf0.1", "labels")
@@ -438,6 +448,13 @@ def test_fingerprints(odd, none):
     assert one.near_next == 1.0
 
 
+def test_cuts_below(spark):
+    for n in (0, 1, 2, 7, 64):
+        cuts = [float(3 * i) for i in range(n)]
+        rows = spark.range(-5, 3 * n + 5).select("id", fingerprints.cuts_below(F.col("id").cast("double"), cuts).alias("k")).collect()
+        assert all(r.k == sum(c <= r.id for c in cuts) for r in rows)
+
+
 # ---- the pipeline
 def test_pipeline(spark):
     import corpus_pipeline as p

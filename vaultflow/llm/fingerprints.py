@@ -29,8 +29,8 @@ from .common import WORD, quoted, words
 #: Share of documents that a term of the lexicon is in: idf from 2.3 to 3.9.
 MIN_SHARE, MAX_SHARE = 0.02, 0.1
 SUBSETS = 24
-#: Parts of the doc_id range in which documents are put in order.
-PARTS = 240
+#: Bytes of text in a part of the doc_id range; documents are put in order in each part by one task.
+PART_BYTES = 64 << 20
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -48,11 +48,11 @@ def dealt(kept: Column, all_words: Column, subsets: int = SUBSETS) -> Column:
     """Hashes of the parts from the sorted terms. A term's part comes from its MD5, so that
     each term is hashed once."""
     tagged = F.transform(kept, lambda t: F.struct((F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("int") % subsets).alias("part"), t.alias("term")))
-    joined = F.transform(
-        F.sequence(F.lit(0), F.lit(subsets - 1)),
-        lambda k: F.array_join(F.transform(F.filter(tagged, lambda x: x["part"] == k), lambda x: x["term"]), " "),
-    )
-    hashes = F.transform(joined, lambda s: F.when(s != "", F.substring(F.md5(s), 1, 8)).otherwise(F.lit("")))
+    # In an array of one, so that the terms are tagged once and not for each part.
+    def joined(terms: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda k: F.array_join(F.transform(F.filter(terms, lambda x: x["part"] == k), lambda x: x["term"]), " "))
+
+    hashes = F.transform(F.element_at(F.transform(F.array(tagged), joined), 1), lambda s: F.when(s != "", F.substring(F.md5(s), 1, 8)).otherwise(F.lit("")))
     return F.when(F.size(kept) > 0, hashes).otherwise(F.array(F.substring(F.md5(F.array_join(F.array_sort(F.array_distinct(all_words)), " ")), 1, 16)))
 
 
@@ -77,24 +77,21 @@ def with_next(docs: DataFrame, add=None) -> DataFrame:
     """(doc_id, text, next_text): the next document in ascending doc_id; the first after the last.
     ``add`` makes columns from the text; each comes with a column next_... of the next document.
 
-    Documents are dealt to consecutive ranges of doc_id, and each range also gets a copy of the
-    first document of the range after it, so that one exchange and a window in each range do."""
+    Documents are dealt to consecutive ranges of doc_id, as many as the bytes of all texts ask for, and each range also gets a
+    copy of the first document of the range after it, so that one exchange and a window in each range do. Documents
+    of one doc_id (or without any) are in one range."""
     base = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     ids = base.select(F.col("doc_id").cast("double").alias("x"))
-    cuts = sorted(set(ids.approxQuantile("x", [i / PARTS for i in range(1, PARTS)], 0.001)))  # PARTS numbers
-    array = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
-    number = F.coalesce(F.size(F.filter(array, lambda c: c <= F.col("doc_id").cast("double"))), F.lit(0))
-    number = F.when(F.col("doc_id").isNull(), -1).otherwise(number)
-    placed = base.withColumn("part", number)
-    firsts = placed.groupBy("part").agg(F.min("doc_id").alias("doc_id")).orderBy("part").collect()  # a row a range
-    firsts = firsts or [{"part": 0, "doc_id": None}]
-    # The first row of a range is the least (doc_id, text) in it.
-    into = {r["part"]: firsts[i - 1]["part"] for i, r in enumerate(firsts)}
-    first_ids = [r["doc_id"] for r in firsts if r["doc_id"] is not None]
-    first = F.col("doc_id").isin(first_ids) | F.col("doc_id").isNull() if first_ids else F.col("doc_id").isNull()
-    heads = placed.filter(first).groupBy("part", "doc_id").agg(F.min("text").alias("text"))
-    moved = F.create_map(*[F.lit(x) for kv in into.items() for x in kv])[F.col("part")]
-    heads = heads.select("doc_id", "text", moved.alias("part"), F.lit(1).alias("extra"))
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = -(-size // PART_BYTES) + 4 * docs.sparkSession.sparkContext.defaultParallelism
+    cuts = sorted(set(ids.approxQuantile("x", [i / parts for i in range(1, parts)], 1 / (4 * parts))))  # a number a part
+    placed = base.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(cuts_below(F.col("doc_id").cast("double"), cuts)))
+    firsts = [tuple(r) for r in placed.groupBy("part").agg(F.min("doc_id").alias("doc_id")).orderBy("part").collect()]  # a row a part
+    # The first row of a range is the least (doc_id, text) in it; it follows the last row of the range before.
+    follows = [(part, doc_id, firsts[i - 1][0]) for i, (part, doc_id) in enumerate(firsts)]
+    follows = docs.sparkSession.createDataFrame(follows, f"of int, first {docs.schema['doc_id'].dataType.simpleString()}, `into` int")
+    heads = placed.join(F.broadcast(follows), (F.col("part") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first")))  # a row a part
+    heads = heads.groupBy("into", "doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", F.col("into").alias("part"), F.lit(1).alias("extra"))
     both = placed.withColumn("extra", F.lit(0)).unionByName(heads)
     both = add(both) if add else both
     given = [c for c in both.columns if c not in ("part", "extra", "doc_id")]
@@ -102,6 +99,21 @@ def with_next(docs: DataFrame, add=None) -> DataFrame:
     return both.withColumns({f"next_{c}": F.lead(c).over(order) for c in given}).filter("extra = 0").drop("part", "extra")
 
 
+def cuts_below(x: Column, cuts: list[float]) -> Column:
+    """How many of the ascending cuts are x or less, by binary search."""
+    if not cuts:
+        return F.lit(0)
+    held = F.array(*[F.lit(c) for c in cuts])
+
+    def step(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        up = (s["low"] < s["high"]) & (F.get(held, middle) <= x)
+        return F.struct(F.when(up, middle + 1).otherwise(s["low"]).alias("low"), F.when(up | (s["low"] == s["high"]), s["high"]).otherwise(middle).alias("high"))
+
+    rounds = F.array_repeat(F.lit(0), len(cuts).bit_length())
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high")), step, lambda s: s["low"])
+
+
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
     terms = lexicon(docs)
