@@ -267,3 +267,39 @@ def test_near_duplicates_at_the_threshold(spark):
     docs = [("v", f"{i}{side}", "", f"{say(i, shared)} {say(f'{i}{side}', 102 - shared)}") for i in range(300) for shared in [54 if i % 2 else 53] for side in "ab"]
     got = {(r.a, r.b, round(r.score, 6)) for r in similar.near_duplicates(spark.createDataFrame(docs, "vault string, id string, title string, text string")).collect()}
     assert got == {(f"{i}a", f"{i}b", round(52 / 148, 6)) for i in range(1, 300, 2)}
+
+
+def test_writes_of_empty_texts():
+    assert journal.classify_texts(None, "") == ("created", 0, 0) and journal.classify_texts(None, "a\nb") == ("created", 2, 0)
+    assert journal.common_ends(["a", "b", "c"], ["a", "x", "b", "c"]) == (1, 2) and journal.common_ends(["a"], ["a", "a"]) == (1, 0) and journal.common_ends([], ["a"]) == (0, 0)
+
+
+def test_shared_phrases():
+    run = [f"w{i}" for i in range(40)]
+    assert similar.shared_phrases(["x", *run, "y"], ["p", *run, "q"]) == [" ".join(run[:12])]
+    assert similar.shared_phrases(["a", "b"], ["a", "b"]) == []
+
+
+def test_long_chains_of_gaps(spark):
+    """Queries that hang together through more words than any fixed number of rounds would follow."""
+    rows = [("v", "search", T(1), "a", f"alpha{i} alpha{i + 1}", 0) for i in range(70)]
+    u = spark.createDataFrame(rows, "vault string, t string, at timestamp, agent string, query string, hits int")
+    out = usage.cluster_gaps(u, limit=100).collect()
+    assert sum(r.queries for r in out) == 70
+
+
+def test_embedded_chunks(spark):
+    p = spark.createDataFrame([("v", "a", "Harbour", "boats in the harbour " * 80), ("v", "b", "Forest", "trees in the forest " * 80)], "vault string, page_id string, title string, plain string")
+    c = vectors.embed_chunks(pages.chunks(p))
+    got = c.collect()
+    assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in got) and {(r.page_id, r.chunk_no) for r in got} == {("a", 0), ("a", 1), ("b", 0), ("b", 1)}
+    asked = spark.createDataFrame([(1, vectors.hashing_embedder(["boats harbour"])[0].tolist())], "query_id long, embedding array<double>")
+    assert [r.page_id for r in vectors.semantic_search(asked, c).collect()] == ["a"]
+
+
+def test_phrases_by_their_inner_words(spark):
+    p = spark.createDataFrame([("v", "a b c", "T one", ["x y z"], "the quick brown-fox jumps"), ("v", "q", "Quick", [], "unquick brown-fox jumpsuit")], "vault string, page_id string, title string, tags array<string>, plain string")
+    q = spark.createDataFrame([(1, "quick brown-fox jump"), (2, "x y z"), (3, "quick"), (4, "A b C"), (5, "")], "query_id long, query string")
+    holds = lambda q: F.lower("title").contains(q) | F.lower("plain").contains(q) | F.lower("page_id").contains(q) | F.exists("tags", lambda g: F.lower(g).contains(q))
+    got = sorted((r.query_id, r.page_id) for r in rank.phrase_hits(q, p, holds).collect())
+    assert got == [(1, "a b c"), (1, "q"), (2, "a b c"), (3, "a b c"), (3, "q"), (4, "a b c")]

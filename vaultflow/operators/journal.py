@@ -14,23 +14,26 @@ from ..functions.udf import vectorised
 from . import trust
 
 
+def common_ends(old: list[str], new: list[str]) -> tuple[int, int]:
+    """How many lines two texts share at their beginning, and of the rest at their end."""
+    equal = [x == y for x, y in zip(old, new, strict=False)]
+    head = (*equal, False).index(False)
+    equal = [x == y for x, y in zip(reversed(old[head:]), reversed(new[head:]), strict=False)]
+    return head, (*equal, False).index(False)
+
+
 def classify_texts(before: str | None, after: str | None, ignore_final_newline: bool = False) -> tuple[str | None, int, int]:
     """(kind, lines added, lines removed); kind None if nothing changed."""
     if before == after:
         return None, 0, 0
     if before is None:
-        return "created", len(after.split("\n")), 0
+        return "created", len(after.split("\n")) if after else 0, 0
     if after is None:
         return "deleted", 0, len(before.split("\n"))
     if ignore_final_newline:
         before = before[:-1] if before.endswith("\n") else before
     old, new = before.split("\n"), after.split("\n")
-    head = 0
-    while head < min(len(old), len(new)) and old[head] == new[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(old), len(new)) - head and old[-1 - tail] == new[-1 - tail]:
-        tail += 1
+    head, tail = common_ends(old, new)
     removed, added = len(old) - head - tail, len(new) - head - tail
     kind = "appended" if len(new) > len(old) and head == len(old) else "rewritten"
     return kind, added, removed
@@ -183,12 +186,7 @@ def diff_lines(before: pd.Series, after: pd.Series) -> pd.Series:
 
     def one(b: str | None, a: str | None) -> list[dict]:
         old, new = (b or "").split("\n"), (a or "").split("\n")
-        head = 0
-        while head < min(len(old), len(new)) and old[head] == new[head]:
-            head += 1
-        tail = 0
-        while tail < min(len(old), len(new)) - head and old[-1 - tail] == new[-1 - tail]:
-            tail += 1
+        head, tail = common_ends(old, new)
         if head == len(old) == len(new):
             return []
         rows = [(" ", x) for x in old[max(0, head - 2) : head]]

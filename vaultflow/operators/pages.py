@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SPACES, base_name, content_hash, dir_name, strip_extension
 from ..functions.udf import vectorised
+from .storage import materialize
 
 FRONT = r"^---[ \t]*\r?\n(?s:(.*?))\r?\n?---[ \t]*(?:\r?\n|$)"
 #: Fixed value.
@@ -144,11 +145,13 @@ def parse_pages(files: DataFrame) -> DataFrame:
     """files (vault, rel_path, text, mtime) into pages. A block that can't be read leaves the whole file as body
     and says so in parse_error."""
     block = F.when(F.col("text").rlike(FRONT), F.regexp_extract("text", FRONT, 1))
-    f = files.withColumn("_block", block).withColumn("_front", read_frontmatter("_block"))
+    f = files.select("vault", "rel_path", "text", "mtime").withColumn("_block", block).withColumn("_front", read_frontmatter("_block"))
     bad = F.col("_block").isNotNull() & F.col("_front").isNull()
     f = f.withColumn("parse_error", F.when(bad, F.lit("unreadable frontmatter")))
     f = f.withColumn("body", F.when(F.col("_front").isNotNull(), F.regexp_replace("text", FRONT, "")).otherwise(F.col("text")))
     f = f.withColumn("frontmatter_json", F.coalesce("_front", F.lit("{}"))).withColumn("plain", to_plain(F.col("body")))
+    # Written here, as each of the columns below would work out body and plain anew.
+    f = materialize(f.select("vault", "rel_path", "mtime", "parse_error", "frontmatter_json", "body", "plain"))
     front, body, plain = F.col("frontmatter_json"), F.col("body"), F.col("plain")
     return f.select(
         "vault",

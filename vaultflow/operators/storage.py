@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,15 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where none is set."""
+    """spark.checkpoint.dir of the session. Where none is set, a temporary folder serves in local mode only: a cluster would lose
+    what is written to it, so there this raises."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     known = sc._jsc.sc().getCheckpointDir()
     if not known.isDefined():
+        if not path and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="vaultflow-"))
     return path or sc._jsc.sc().getCheckpointDir().get()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a small table of few files would keep most of them idle. A table of many parts stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """df written as Parquet and read back."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/vf-{uuid.uuid4().hex}"

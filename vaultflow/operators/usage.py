@@ -122,7 +122,7 @@ def _cluster_part(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["vault", "part", "label", "terms", "queries", "misses", "agents", "last_asked"])
 
 
-def cluster_gaps(usage: DataFrame, limit: int = 20, iterations: int = 50) -> DataFrame:
+def cluster_gaps(usage: DataFrame, limit: int = 20) -> DataFrame:
     """Searches without hits, clustered by their words.
 
     Queries that share no word, even through others, never meet, so each connected part is clustered on its own. Counting
@@ -133,14 +133,13 @@ def cluster_gaps(usage: DataFrame, limit: int = 20, iterations: int = 50) -> Dat
     q = q.withColumn("part", F.xxhash64("vault", "gap"))
     words = q.select("vault", "gap", F.explode("terms").alias("term"))
     labels = q.select("vault", "gap", "part")
-    for _ in range(iterations):  # the least label spreads over shared words
+    moved = True
+    while moved:  # the least label spreads over shared words until none moves
         by_term = words.join(labels, ["vault", "gap"]).groupBy("vault", "term").agg(F.min("part").alias("least"))
         new = words.join(by_term, ["vault", "term"]).groupBy("vault", "gap").agg(F.min("least").alias("part"))
         new = materialize(new)
         moved = new.join(labels.withColumnRenamed("part", "old"), ["vault", "gap"]).filter("part <> old").limit(1).count()
         labels = new
-        if not moved:
-            break
     out = q.drop("part").join(labels, ["vault", "gap"]).groupBy("vault", "part").applyInPandas(_cluster_part, CLUSTER)
     w = Window.partitionBy("vault").orderBy(F.desc("misses"), F.desc("last_asked"), "label")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).drop("part")

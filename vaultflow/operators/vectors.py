@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -101,6 +104,36 @@ def related(vectors: DataFrame, limit: int = 8, block: int = BLOCK) -> DataFrame
     return _best(scores.groupBy("vault", "src", "page_id").agg(F.max("score").alias("score")), ["vault", "src"], limit)
 
 
+def hashing_embedder(texts: list[str], size: int = 384) -> np.ndarray:
+    """Vectors of unit length from hashed words: no model, but texts that share words are near. For tests and where no model is at hand."""
+    out = np.zeros((len(texts), size))
+    for i, text in enumerate(texts):
+        words = re.findall(r"\w+", text.lower())
+        if words:
+            h = pd.util.hash_array(np.array(words, dtype=object))
+            np.add.at(out[i], (h % size).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0))
+    length = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(length > 0, length, 1)
+
+
+def embed_chunks(chunks: DataFrame, embedder=hashing_embedder, batch: int = 256) -> DataFrame:
+    """(vault, page_id, chunk_no, hash, embedding) of chunks (vault, page_id, chunk_no, text, hash). ``embedder`` takes a list of texts and gives a
+    row for each; it is called in tasks with at most ``batch`` texts, and its rows are brought to unit length."""
+
+    def run(batches):
+        for part in batches:
+            for start in range(0, len(part), batch):
+                some = part.slice(start, batch)
+                m = np.asarray(embedder(some.column("text").to_pylist()), np.float64).reshape(len(some), -1)
+                length = np.linalg.norm(m, axis=1, keepdims=True)
+                m = (m / np.where(length > 0, length, 1)).astype(np.float32)
+                column = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1], pa.int32()), pa.array(m.ravel()))
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("vault", "page_id", "chunk_no", "hash")), column], names=["vault", "page_id", "chunk_no", "hash", "embedding"])
+
+    c = chunks.select("vault", "page_id", F.col("chunk_no").cast("int").alias("chunk_no"), "hash", "text")
+    return c.mapInArrow(run, "vault string, page_id string, chunk_no int, hash string, embedding array<float>")
+
+
 def stale_vectors(pages: DataFrame, stored: DataFrame) -> DataFrame:
     """(vault, page_id, action): delete what is no page any more, embed what is new or has another hash."""
     have = stored.select("vault", "page_id", "hash").distinct()

@@ -506,7 +506,8 @@ def term_postings(s, d):
 
 @query(BM + "select query_id, vault, page_id, round(bm25, 6) as bm25 from bm")
 def bm25_scores(s, d):
-    return rank.bm25(v.queries(s, d), *rank.inverted_index(v.pages(s, d))).withColumn("bm25", F.round("bm25", 6)).withColumn("query_id", F.col("query_id").cast("int"))
+    q = v.queries(s, d)
+    return rank.bm25(q, *rank.inverted_index(v.pages(s, d), rank.query_terms(q))).withColumn("bm25", F.round("bm25", 6)).withColumn("query_id", F.col("query_id").cast("int"))
 
 
 @query(PR + "select vault, page_id, round(rank, 6) as rank from au")
@@ -525,7 +526,8 @@ ss as (select coalesce(l.query_id, b.query_id) as query_id, p.vault, p.page_id,
 def _search(s, d, limit):
     p = materialize(v.pages(s, d))
     e = links.resolve_links(p)
-    return rank.search(v.queries(s, d), p, *rank.inverted_index(p), rank.authority(p, e), limit)
+    q = v.queries(s, d)
+    return rank.search(q, p, *rank.inverted_index(p, rank.query_terms(q)), rank.authority(p, e), limit)
 
 
 @query(SEARCH + "select query_id, vault, page_id, round(score, 5) as score, row_number() over (partition by query_id, vault order by round(score, 9) desc, mtime desc, page_id)::int as rank from ss where score > 0 qualify rank <= 10")
@@ -644,6 +646,18 @@ def near_duplicate_pages(s, d):
 
 
 # ---- parsing and ingest
+@query("""
+, k as (select *, trim(regexp_replace(plain, '[^A-Za-z0-9 .,]', '', 'g')) as kept, (doc_id // 3) % 3 = 0 as signed, (doc_id // 3) % 9 = 0 as changed from pages)
+select vault, page_id, 0 as pos, 'Heading' as heading, 'unverified' as trust from k union all
+select vault, page_id, 1, 'Body', case when not signed then 'unverified' when changed then 'lapsed' else 'verified' end from k where kept <> ''""")
+def section_trust(s, d):
+    f = vault_files(s, d).withColumn("text", F.regexp_replace("text", pages.FRONT, ""))
+    parts = materialize(pages.sections(f).select("vault", "page_id", "pos", "heading", "hash"))
+    signed = v.ledger(s, d).select("vault", "page_id", F.col("hash").alias("says"), "at", "by")
+    signed = parts.filter("heading = 'Body'").join(signed, ["vault", "page_id"]).withColumn("hash", F.when(F.col("says") == "changed", "changed").otherwise(F.col("hash"))).drop("pos", "says")
+    return trust.section_trust(parts, signed).select("vault", "page_id", "pos", "heading", "trust")
+
+
 def vault_files(s, d):
     p = v.pages(s, d)
     head = F.expr("concat('---\ntitle: Note ', cast(doc_id as string), '\ntags: [alpha, \"#', substring(page_id, 1, 6), '\"]\naliases:\n  - Old ', cast(doc_id as string), '\nconfidence: high\nupdated: 2024-01-05\n---\n')")

@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import spread
+
 NOW = "2024-02-01 00:00:00"
 NOW_S = 1_706_745_600
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def folder_sql(x: str) -> str:
@@ -95,9 +97,9 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = pages(spark, sf_dir).filter("doc_id = 5").selectExpr("cast(1 as bigint) as query_id", "title as query")
-    rest = spark.createDataFrame([(2, "that the"), (3, "thing not"), (4, "topic-7"), (5, "über der")], "query_id bigint, query string")
-    return title.unionByName(rest)
+    """Every twentieth document asks: with its title, or with the second and third word of its text."""
+    p = pages(spark, sf_dir).filter("doc_id % 20 = 0")
+    return p.selectExpr("cast(doc_id as bigint) as query_id", "if(doc_id % 40 = 0, title, array_join(slice(split(plain, ' '), 2, 2), ' ')) as query")
 
 
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,6 +141,6 @@ journal as (select {vault_sql('(event_id % 800)')} as vault, {page_sql('(event_i
   floor(value)::bigint % 50 as lines_added, floor(value)::bigint % 7 as lines_removed from events),
 writers as (select ts as at, {page_sql('(event_id % 800)')} || '.md' as rel_path, 'agent-' || (user_id % 12) as agent from events),
 versions as (select {vault_sql('conv_id')} as vault, 'conv-' || conv_id || '.md' as rel_path, {NOW_S} - 86400 * 30 + turn * 3600 as at, substring(sha1(text), 1, 16) as hash, text, conv_id, turn from conversations),
-queries as (select 1 as query_id, title as query from pages where doc_id = 5 union all values (2, 'that the'), (3, 'thing not'), (4, 'topic-7'), (5, 'über der')),
+queries as (select doc_id as query_id, case when doc_id % 40 = 0 then title else array_to_string(string_split(plain, ' ')[2:3], ' ') end as query from pages where doc_id % 20 = 0),
 quarantine as (select {vault_sql('doc_id')} as vault, {page_sql('doc_id')} as page_id from documents where doc_id % 13 = 0)
 """
