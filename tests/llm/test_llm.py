@@ -485,5 +485,24 @@ def test_pipeline(spark):
     assert n == sum(copies.values()) and final.select("shard", "slot").distinct().count() == n
 
 
+def test_pipeline_of_odd_rows(spark, odd, none, tmp_path):
+    """Every stage with nulls, copies, odd texts, clashing columns and no rows at all."""
+    import corpus_pipeline as p
+    from vaultflow.llm.common import materialize
+
+    sf = "/root/testdata/sf0.001"
+    for docs, left in ((clashing(odd), True), (clashing(none), False)):
+        columns = docs.columns
+        for name, stage in p.STAGES:
+            docs = materialize(stage(spark, docs, sf))
+            assert name == "sharding" or docs.columns == columns
+        rows = docs.collect()
+        assert bool(rows) == left and all(r.text and r.text.strip() for r in rows)
+        assert len({(r.shard, r.slot) for r in rows}) == len(rows) and max(collections.Counter((r.doc_id, r.text) for r in rows).values(), default=0) <= 3
+    again = materialize(dict(p.STAGES)["sharding"](spark, odd.repartition(5), sf))
+    first = materialize(dict(p.STAGES)["sharding"](spark, odd.repartition(2), sf))
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, first.collect()))
+
+
 def test_registered():
     assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES} == {str(i) for i in range(1, 11)}

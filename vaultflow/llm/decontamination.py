@@ -5,7 +5,7 @@ Words are lower-cased runs of letters and digits. Each benchmark item gives its
 has an anchor: the adjacent pair of its words with the most letters, so a pair that is rare in
 ordinary text. The windows are a hash set under their anchors. Scanning a document looks for words
 that begin an anchor, then for the anchors' hashes, and verifies each window at its place word by
-word: every occurrence is found, and a collision of hashes changes nothing.
+word: every occurrence is found, and a collision of anchors changes nothing. Texts are told apart by their MD5.
 
 The anchors are literals and the set is broadcast up to MAX_WINDOWS windows (the count is checked
 first). A larger benchmark takes the other way: the documents' pairs are joined with the
@@ -84,8 +84,8 @@ def score(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows
     names = ("n_words", "n_hit", "n_items", "items", "contaminated", "hit_spans")
     docs = docs.drop(*names)
     key, other = temp_name(docs, "text_hash"), temp_name(docs, "item_list")
-    # Equal texts have equal hits: what is found is keyed by the text's hash.
-    docs = docs.withColumn(key, F.xxhash64("text", F.length("text"), F.md5("text")))
+    # Equal texts have equal hits: what is found is keyed by the text's 128-bit hash (null for a null text, which has none).
+    docs = docs.withColumn(key, F.md5("text"))
     found = hits(docs.select(key, "text"), key, benchmark, width, max_windows)
     spans = found.groupBy(key).agg(F.collect_set(F.struct("start", "length")).alias("hit_spans"), F.collect_set(F.col("item_id").cast("string")).alias(other))
     out = docs.join(spans, key, "left")

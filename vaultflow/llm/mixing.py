@@ -7,7 +7,7 @@ capped ones are a prefix, and the rest share what is left by weight.
 
 A source's target over its size is a number of whole repetitions and a fraction. All its
 documents are repeated the whole number of times; for the fraction, documents in the order
-of a seeded hash are taken once more until their words reach it, to within half a document.
+of a seeded hash (of doc_id, or of the text where that is null) are taken once more until their words reach it, to within half a document.
 
 Defined cases: a null source is a source of its own and comes last; a null or empty text has
 no words and is never taken; a source without words has target 0; an empty table gives no
@@ -49,7 +49,7 @@ def mix(docs: DataFrame, seed: str = "mix-1", max_epochs: int = 3, weights: tupl
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
     h, key, part, start, run = (temp_name(docs, x) for x in ("hash", "key", "part", "start", "run"))
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(TOKEN)).cast("long")
-    sized = docs.withColumn("size", size).withColumn(h, F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    sized = docs.withColumn("size", size).withColumn(h, F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("")))))
     sized = sized.withColumn(part, F.substring(h, 1, PREFIX)).withColumn(key, F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     # One row for each source and hash prefix: what the prefixes before hold.
     parts = sized.groupBy(key, part).agg(F.sum("size").alias("part_size"))
@@ -80,7 +80,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 ORACLE = f"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{TOKEN}'))::bigint as size,
-                  md5('mix-1:' || coalesce(doc_id::varchar, '')) as h from documents),
+                  md5('mix-1:' || coalesce(doc_id::varchar, md5(text), '')) as h from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, row_number() over (order by source asc nulls last) - 1 as place from s),
 c as (select *, (place % 3 + 1)::double as weight, (source_size * 3)::double as cap,

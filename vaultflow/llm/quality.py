@@ -6,7 +6,7 @@ normalised by the text's length and by the sizes, with the two sizes a byte and
 through a logistic calibration fitted on labelled texts that the dictionaries haven't seen.
 
 The fit reads a bounded sample of the labelled rows: at most ``per_class`` texts of each label (those
-with the least hash of doc_id) of at most ``max_bytes`` bytes, half of them for the dictionaries.
+with the least hash of doc_id) of at most ``max_bytes`` bytes, one for a doc_id, half of them for the dictionaries.
 Scoring reads every text whole.
 
 Defined cases: null and empty texts are scored as empty ones; with fewer than MIN_CLASS sampled texts of
@@ -95,7 +95,9 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> Model:
     """A model from labels (doc_id, quality) of documents that aren't held out."""
+    sized = docs.select("doc_id", "text").filter(F.octet_length("text").between(1, max_bytes))
     usable = labels.filter("quality in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id"), 5, 0)).select("doc_id", "quality").distinct()
+    usable = usable.join(sized.select("doc_id"), "doc_id", "left_semi")
     counts = {r[0]: r[1] for r in usable.groupBy("quality").count().collect()}
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 1.0
@@ -103,8 +105,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_byte
     for q in (0, 1):
         some = usable.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         ids = some if ids is None else ids.unionByName(some)
-    chosen = docs.select("doc_id", "text").filter(F.octet_length("text").between(1, max_bytes)).join(F.broadcast(ids), "doc_id")  # 2 * per_class ids
-    rows = sorted(chosen.select("doc_id", "quality", "text").collect())
+    # 2 * per_class ids; of a doc_id that repeats one text is read.
+    rows = sorted(sized.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect())
     texts = {q: [r["text"].encode() for r in sorted(rows, key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["text"])) if r["quality"] == q] for q in (0, 1)}
     none = np.zeros(0)
     if min(map(len, texts.values())) < MIN_CLASS:

@@ -24,7 +24,7 @@ from .common import materialize, temp_name
 ROUNDS = 6
 #: Steps of cycle walking. The domain has less than sqrt(n) + 1 surplus numbers, all distinct
 #: on a cycle, so a walk needs at most that many steps; beyond 64 steps the chance that any row
-#: is still outside is below n * (1 / sqrt(n)) ** 64.
+#: is still outside is below n * (1 / sqrt(n)) ** 64; it would raise.
 WALKS = 64
 
 
@@ -56,7 +56,8 @@ def permute(number: Column, n: int, seed: int) -> Column:
     if not surplus:
         return first
     walk = F.array(*[F.lit(0)] * min(surplus, WALKS))
-    return F.aggregate(walk, first, lambda x, _: F.when(x < n, x).otherwise(network(x)))
+    out = F.aggregate(walk, first, lambda x, _: F.when(x < n, x).otherwise(network(x)))
+    return F.when(out < n, out).otherwise(F.raise_error(F.lit(f"a row is outside after {WALKS} steps; choose another seed")).cast("long"))
 
 
 def number_rows(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
@@ -101,12 +102,15 @@ _NET = "(select id, x, a, b, n, k, (x // b)::bigint as l, (x % b)::bigint as r f
 for _i in range(ROUNDS):
     _NET = _ROUND.format(i=_i, size="b" if _i % 2 else "a", below=_NET)
 ORACLE = f"""
-with recursive d as (select doc_id, (strlen(coalesce(text, '')) + 8)::bigint as size, coalesce(text, '') as text from documents),
-q as (select *, row_number() over (order by doc_id nulls first, size, text) - 1 as id from d),
+with recursive bit as (select list_transform(range(256), lambda i: list_reduce([i::bigint] || range(8), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) as table_of),
+hexed as (select doc_id, (strlen(coalesce(text, '')) + 8)::bigint as size, hex(encode(coalesce(text, ''))) as x from documents),
+d as (select doc_id, size, xor(4294967295, list_reduce([4294967295::bigint] || list_transform(range(0, len(x), 2), lambda i: ('0x' || x[i + 1:i + 2])::bigint),
+      lambda c, b: xor(table_of[xor(c, b) % 256 + 1], c // 256))) as text_crc32 from hexed, bit),
+q as (select *, row_number() over (order by doc_id nulls first, size, text_crc32) - 1 as id from d),
 c as (select count(*)::bigint as n, ceil(sqrt(count(*)))::bigint as a from d),
 w as (select id, id as x, a, ((n + a - 1) // a)::bigint as b, n, 0 as k from q, c
       union all select id, (l * b + r)::bigint as x, a, b, n, k + 1 as k from {_NET}),
 p as (select id, arg_max(x, k) as place from w group by id)
-select doc_id, size, 'rows' as law, (place % 24)::int as shard, (place // 24)::bigint as slot, null::int as grown_shard
+select doc_id, size, text_crc32, 'rows' as law, (place % 24)::int as shard, (place // 24)::bigint as slot, null::int as grown_shard
 from q join p using (id)
 """
