@@ -46,9 +46,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def materialize_by(df: DataFrame, key: str) -> DataFrame:
+    """Like materialize, as a table in as many buckets of key as a shuffle has parts: joins on key leave its rows where they are."""
+    spark = df.sparkSession
+    name = f"vf_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    df.write.format("parquet").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(name)
+    out = spark.table(name)
+    out.stored_at, out.stored_as = path, name
+    return out
+
+
 def discard(*written: DataFrame) -> None:
     """Delete what materialize wrote; nothing that is still to run may read it."""
     for df in written:
+        if hasattr(df, "stored_as"):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.stored_as}")
         sc = df.sparkSession.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
