@@ -178,16 +178,16 @@ def folder_pages(pages: DataFrame, offset: int = 0, limit: int = 50) -> DataFram
 
 
 def agent_map(pages: DataFrame) -> DataFrame:
-    """(vault, markdown): a map of each vault for agents: pages by folder, then tags."""
+    """(vault, part, folder, item, line): a map of each vault for agents, line by line: a head (part 0), folders with their pages (1) and tags
+    (2). Ordered by part, folder and item the lines are the map's file; no vault is put together in one row."""
     tags = F.when(F.size("tags") > 0, F.concat(F.lit(" — tags: "), F.array_join(F.transform("tags", lambda t: F.concat(F.lit("#"), t)), " "))).otherwise("")
     about = F.when(F.col("excerpt") != "", F.concat(F.lit(" — "), F.substring("excerpt", 1, 120))).otherwise("")
     line = F.concat(F.lit("- `"), "rel_path", F.lit("` — **"), "title", F.lit("**"), tags, about)
-    folders = pages.select("vault", "folder", F.struct("page_id", line.alias("line")).alias("l")).groupBy("vault", "folder").agg(F.array_sort(F.collect_list("l")).alias("lines"), F.count("*").alias("n"))
-    block = F.concat(F.lit("## "), F.when(F.col("folder") == "", "(root)").otherwise(F.col("folder")), F.lit("\n\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n"))
-    body = folders.groupBy("vault").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("folder", block.alias("b")))), lambda x: x["b"]), "\n").alias("body"), F.sum("n").alias("n"))
-    t = tag_counts(pages).groupBy("vault").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("k"), "tag"))), lambda x: F.concat(F.lit("#"), x["tag"], F.lit(" ("), (-x["k"]).cast("string"), F.lit(")"))), " · ").alias("tags"))
-    out = body.join(t, "vault", "left")
-    head = F.concat(F.lit("# "), "vault", F.lit(" — wiki index\n\n"), F.col("n").cast("string"), F.lit(" pages. Read this map first, then open only the pages you need.\n\n"))
-    return out.select("vault", F.concat(head, "body", F.when(F.col("tags").isNotNull(), F.concat(F.lit("\n## Tags\n\n"), "tags", F.lit("\n"))).otherwise("")).alias("markdown"))
-
-
+    row = lambda part, folder, item, line: ["vault", F.lit(part).alias("part"), folder.alias("folder"), item.alias("item"), line.alias("line")]
+    none = F.lit("")
+    head = F.concat(F.lit("# "), "vault", F.lit(" — wiki index: "), F.col("n").cast("string"), F.lit(" pages. Read this map first, then open only the pages you need."))
+    heads = pages.groupBy("vault").agg(F.count("*").alias("n")).select(*row(0, none, none, head))
+    folders = pages.select("vault", "folder").distinct().select(*row(1, F.col("folder"), none, F.concat(F.lit("## "), F.when(F.col("folder") == "", "(root)").otherwise(F.col("folder")))))
+    own = pages.select(*row(1, F.col("folder"), F.col("page_id"), line))
+    counts = tag_counts(pages).select(*row(2, none, F.col("tag"), F.concat(F.lit("#"), "tag", F.lit(" ("), F.col("count").cast("string"), F.lit(")"))))
+    return heads.unionByName(folders).unionByName(own).unionByName(counts)

@@ -70,7 +70,7 @@ def search_history(versions: DataFrame, queries: DataFrame, most: int = 40) -> D
     text. The queries are few; they are the broadcast side of a contains join when Spark finds them small."""
     q = queries.select("query_id", F.lower(F.trim("query")).alias("needle")).filter(F.length("needle") >= 3)
     both = versions.join(q, F.lower(F.col("text")).contains(F.col("needle")))
-    line = F.filter(F.split("text", "\n"), lambda x: F.lower(x).contains(F.col("needle")))[0]
+    line = F.get(F.filter(F.split("text", "\n"), lambda x: F.lower(x).contains(F.col("needle"))), F.lit(0))
     out = both.select("query_id", "vault", "rel_path", "at", F.substring(F.trim(line), 1, 240).alias("line"))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("at"), "vault", "rel_path"))).filter(F.col("rank") <= most)
 

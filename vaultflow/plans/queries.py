@@ -303,13 +303,12 @@ def page_filter(s, d):
 @query("""
 , l as (select vault, folder, page_id, '- `' || rel_path || '` — **' || title || '**' || case when len(tags) > 0 then ' — tags: ' || array_to_string(list_transform(tags, lambda t: '#' || t), ' ') else '' end
  || case when excerpt <> '' then ' — ' || substring(excerpt, 1, 120) else '' end as line from pages),
-f as (select vault, folder, '## ' || folder || chr(10) || chr(10) || string_agg(line, chr(10) order by page_id) || chr(10) as b, count(*) as n from l group by vault, folder),
-b as (select vault, string_agg(b, chr(10) order by folder) as body, sum(n)::bigint as n from f group by vault),
-tc as (select vault, tag, count(*) as c from (select vault, unnest(tags) as tag from pages) group by all),
-t as (select vault, string_agg('#' || tag || ' (' || c || ')', ' · ' order by c desc, tag) as tags from tc group by vault)
-select vault, md5('# ' || vault || ' — wiki index' || chr(10) || chr(10) || n || ' pages. Read this map first, then open only the pages you need.' || chr(10) || chr(10) || body || chr(10) || '## Tags' || chr(10) || chr(10) || tags || chr(10)) as digest from b join t using (vault)""")
+tc as (select vault, tag, count(*) as c from (select vault, unnest(tags) as tag from pages) group by all)
+select vault, 0 as part, '' as folder, '' as item, '# ' || vault || ' — wiki index: ' || count(*) || ' pages. Read this map first, then open only the pages you need.' as line from pages group by vault
+union all select distinct vault, 1, folder, '', '## ' || folder from pages union all select vault, 1, folder, page_id, line from l
+union all select vault, 2, '', tag, '#' || tag || ' (' || c || ')' from tc""")
 def agent_map(s, d):
-    return health.agent_map(v.pages(s, d)).select("vault", F.md5("markdown").alias("digest"))
+    return health.agent_map(v.pages(s, d))
 
 
 # ---- usage
@@ -419,12 +418,14 @@ def point_in_time(s, d):
 
 
 @query("""
-, h as (select q.query_id, x.vault, x.rel_path, x.at, substring(trim(list_filter(string_split(x.text, chr(10)), lambda l: contains(lower(l), q.n))[1]), 1, 240) as line
- from versions x join (values (1, 'thing'), (2, 'heat'), (3, 'unge')) q(query_id, n) on contains(lower(x.text), q.n))
+, q as (select conv_id as query_id, lower(trim(substring(text, 1, 12))) as n from versions where conv_id % 20 = 0 and turn = 0),
+h as (select q.query_id, x.vault, x.rel_path, x.at, substring(trim(list_filter(string_split(x.text, chr(10)), lambda l: contains(lower(l), q.n))[1]), 1, 240) as line
+ from versions x join q on contains(lower(x.text), q.n) where length(q.n) >= 3)
 select *, row_number() over (partition by query_id order by at desc, vault, rel_path)::int as rank from h qualify rank <= 40""")
 def history_search(s, d):
-    q = s.createDataFrame([(1, "thing"), (2, "Heat "), (3, "unge"), (4, "ab")], "query_id int, query string")
-    return journal.search_history(v.versions(s, d), q).withColumn("at", secs("at"))
+    x = v.versions(s, d)
+    q = x.filter("conv_id % 20 = 0 and turn = 0").select(F.col("conv_id").alias("query_id"), F.substring("text", 1, 12).alias("query"))
+    return journal.search_history(x, q).withColumn("at", secs("at"))
 
 
 @query("""

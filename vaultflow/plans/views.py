@@ -71,7 +71,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(ts as timestamp) as at",
         "'agent-' || cast(user_id % 12 as string) as agent",
         f"if(event_type = 'view', {page_sql('(event_id % 700)')}, null) as page",
-        "case event_type when 'click' then 'topic' when 'error' then 'Topic ' || cast(user_id % 40 as string) || ' guide' end as query",
+        "case event_type when 'click' then 'topic' when 'error' then 'Area' || cast(user_id % 20 as string) || ' topic' || cast(user_id as string) end as query",
         "case event_type when 'click' then 1 when 'error' then 0 end as hits",
     )
 
@@ -135,7 +135,7 @@ trusted as (select p.*, case when l.at is null then 'unverified' when l.hash <>
   from pages p left join ledger l using (vault, page_id)),
 usage as (select event_id, {vault_sql('event_id')} as vault, case event_type when 'view' then 'read' when 'click' then 'search' when 'error' then 'search' when 'purchase' then 'index' else 'health' end as t,
   ts as at, 'agent-' || (user_id % 12) as agent, case when event_type = 'view' then {page_sql('(event_id % 700)')} end as page,
-  case event_type when 'click' then 'topic' when 'error' then 'Topic ' || (user_id % 40) || ' guide' end as query, case event_type when 'click' then 1 when 'error' then 0 end as hits from events),
+  case event_type when 'click' then 'topic' when 'error' then 'Area' || (user_id % 20) || ' topic' || user_id end as query, case event_type when 'click' then 1 when 'error' then 0 end as hits from events),
 journal as (select {vault_sql('(event_id % 800)')} as vault, {page_sql('(event_id % 800)')} as page_id, {page_sql('(event_id % 800)')} || '.md' as rel_path, ts as at,
   case event_type when 'view' then 'appended' when 'purchase' then 'created' when 'signup' then 'deleted' else 'rewritten' end as kind,
   floor(value)::bigint % 50 as lines_added, floor(value)::bigint % 7 as lines_removed from events),
