@@ -303,3 +303,15 @@ def test_phrases_by_their_inner_words(spark):
     holds = lambda q: F.lower("title").contains(q) | F.lower("plain").contains(q) | F.lower("page_id").contains(q) | F.exists("tags", lambda g: F.lower(g).contains(q))
     got = sorted((r.query_id, r.page_id) for r in rank.phrase_hits(q, p, holds).collect())
     assert got == [(1, "a b c"), (1, "q"), (2, "a b c"), (3, "a b c"), (3, "q"), (4, "a b c")]
+
+
+def test_nested_frontmatter():
+    import json
+
+    read = lambda t: (x := pages.frontmatter_json(t)) and json.loads(x)
+    assert read("a: 1\nb:\n  c: [x, 'y, z']\n  d:\n    - e\n    - f: 1\n      g: two\nh: |\n  line\n   more\n\ni: >-\n  one\n  two\n\n  three\nj: \"k: l\" \nm: n # note") == {
+        "a": 1, "b": {"c": ["x", "y, z"], "d": ["e", {"f": 1, "g": "two"}]}, "h": "line\n more\n", "i": "one two\nthree", "j": "k: l", "m": "n"}
+    assert read("tags:\n- a\n- b\nlink: https://x.org/a") == {"tags": ["a", "b"], "link": "https://x.org/a"}
+    assert read("") == {} and read("# only\n") == {} and read("a:\nb:") == {"a": None, "b": None}
+    for bad in ("title: [", "- a", "just text", "a: b: c", "a: 1\n  b: 2", "a: {b: 1}", "x: 1\nplain"):
+        assert read(bad) is None, bad

@@ -50,3 +50,49 @@ def test_debounce_feed_and_hooks(spark):
     assert sorted((r.url, r.kind) for r in jobs.route(a, h).collect()) == [("u1", "edited"), ("u1", "read"), ("u2", "read")]
     p = spark.createDataFrame([("v", "p.md", AT, "h")], "vault string, rel_path string, mtime timestamp, hash string")
     assert jobs.events_from_times(p).select(F.sum("lines_added")).first()[0] == 0
+
+
+def rows_of(folder, name, rows):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("\n".join(json.dumps(r) for r in rows))
+
+
+def run(df, tmp_path, name, mode="append"):
+    """One run to the end of what is there, with a checkpoint, into Parquet; the next run goes on from it."""
+    out = str(tmp_path / name)
+    df.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").option("path", out).outputMode(mode).trigger(availableNow=True).start().awaitTermination(120)
+    return df.sparkSession.read.schema(df.schema).parquet(out).collect()
+
+
+def test_journal_goes_on_after_a_restart(spark, tmp_path):
+    schema, folder = "vault string, rel_path string, at timestamp, text string", tmp_path / "in"
+    row = lambda h, t: {"vault": "v", "rel_path": "p", "at": (AT + dt.timedelta(hours=h)).isoformat(), "text": t}
+    rows_of(folder, "a.json", [row(0, "a")])
+    assert [r.kind for r in run(jobs.journal_stream(spark.readStream.schema(schema).json(str(folder))), tmp_path, "out")] == ["created"]
+    rows_of(folder, "b.json", [row(1, "a"), row(2, "a\nb")])
+    got = sorted((r.at, r.kind) for r in run(jobs.journal_stream(spark.readStream.schema(schema).json(str(folder))), tmp_path, "out"))
+    assert got == [(AT, "created"), (AT + dt.timedelta(hours=2), "appended")]
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    schema, folder = "vault string, at timestamp, t string, hits int", tmp_path / "in"
+    row = lambda h: {"vault": "v", "at": (AT + dt.timedelta(hours=h)).isoformat(), "t": "read", "hits": None}
+    stream = lambda: jobs.usage_windows(spark.readStream.schema(schema).json(str(folder)))
+    for name, hours in (("a.json", [1, 2]), ("b.json", [60]), ("c.json", [3, 61]), ("d.json", [120])):
+        rows_of(folder, name, [row(h) for h in hours])
+        got = run(stream(), tmp_path, "out")
+    assert {(r.start, r.reads) for r in got} == {(AT, 2), (AT + dt.timedelta(days=2), 2)}  # the row of hour 3 came after its day was closed
+
+
+def test_bursts_feed_and_hooks_as_streams(spark, tmp_path):
+    schema, folder = "vault string, rel_path string, at timestamp, text string, kind string", tmp_path / "in"
+    row = lambda s, t: {"vault": "v", "rel_path": "p", "at": (AT + dt.timedelta(seconds=s)).isoformat(), "text": t, "kind": "edited"}
+    rows_of(folder, "a.json", [row(0, "a"), row(0.2, "b"), row(5, "c"), row(600, "d")])
+    stream = spark.readStream.schema(schema).json(str(folder))
+    run(jobs.debounced(stream), tmp_path, "bursts")
+    rows_of(folder, "b.json", [row(1200, "e")])
+    got = run(jobs.debounced(spark.readStream.schema(schema).json(str(folder))), tmp_path, "bursts")
+    assert {(r.text, r.writes) for r in got} >= {("b", 2), ("c", 1)}
+    assert len(run(jobs.change_feed(stream, AT, AT + dt.timedelta(seconds=600)), tmp_path, "feed")) == 3
+    hooks = spark.createDataFrame([("v", "u1", [], True), ("v", "u2", ["read"], True)], "vault string, url string, kinds array<string>, enabled boolean")
+    assert {r.url for r in run(jobs.route(stream, hooks), tmp_path, "hooks")} == {"u1"}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import textwrap
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,42 +37,91 @@ def _scalar(s: str):
     return s
 
 
-def _flow(s: str) -> list:
-    parts = re.findall(r"\"[^\"]*\"|'[^']*'|[^,]+", s)
-    return [_scalar(p) for p in parts if p.strip()]
+def _value(s: str):
+    s = s if s[:1] in "\"'" else re.sub(r"\s+#.*$", "", s)
+    if s.startswith("["):
+        if not s.endswith("]"):
+            raise ValueError(s)
+        return [_scalar(p) for p in re.findall(r"\s*(\"[^\"]*\"|'[^']*'|[^,]+)", s[1:-1]) if p.strip()]
+    return _scalar(s)
+
+
+FIELD = re.compile(r"([^\s:#\[{][^:]*):(?:\s+(.*))?")
+
+
+class FrontReader:
+    """Fields, lists and text blocks by their indentation, nested as deep as they come; ValueError for anything else."""
+
+    def __init__(self, block: str):
+        self.lines, self.at = [line.rstrip() for line in block.split("\n")], 0
+
+    def peek(self) -> tuple[int, str] | None:
+        """Indentation and text of the next line that says something."""
+        while self.at < len(self.lines):
+            text = self.lines[self.at].lstrip()
+            if text and not text.startswith("#"):
+                return len(self.lines[self.at]) - len(text), text
+            self.at += 1
+        return None
+
+    def node(self, indent: int):
+        following = self.peek()
+        out = self.items(indent) if re.match(r"-(\s|$)", following[1]) else self.fields(indent)
+        if (rest := self.peek()) and rest[0] > indent:
+            raise ValueError(rest[1])
+        return out
+
+    def items(self, indent: int) -> list:
+        out = []
+        while (line := self.peek()) and line[0] == indent and re.match(r"-(\s|$)", line[1]):
+            text = line[1][1:].strip()
+            if text and FIELD.fullmatch(text):  # the item's first field stands beside the dash
+                self.lines[self.at] = " " * (indent + 1 + len(line[1][1:]) - len(line[1][1:].lstrip())) + text
+                out.append(self.node(self.peek()[0]))
+            else:
+                self.at += 1
+                out.append(_value(text) if text else self.below(indent))
+        return out
+
+    def fields(self, indent: int) -> dict:
+        out = {}
+        while (line := self.peek()) and line[0] == indent and (m := FIELD.fullmatch(line[1])):
+            self.at += 1
+            key, text = m[1].strip(), (m[2] or "").strip()
+            out[key.strip("\"'")] = self.text(indent, text) if re.fullmatch(r"[|>][-+]?", text) else _value(text) if text else self.below(indent, lists=True)
+        if line and line[0] == indent or not out:  # a line that is no field
+            raise ValueError(str(line))
+        return out
+
+    def below(self, indent: int, lists: bool = False):
+        """What is nested under a line; a field's list may stand at its own indentation."""
+        line = self.peek()
+        inside = line and (line[0] > indent or (lists and line[0] == indent and re.match(r"-(\s|$)", line[1])))
+        return self.node(line[0]) if inside else None
+
+    def text(self, indent: int, style: str) -> str:
+        own = []
+        while self.at < len(self.lines) and (not self.lines[self.at].strip() or len(self.lines[self.at]) - len(self.lines[self.at].lstrip()) > indent):
+            own.append(self.lines[self.at])
+            self.at += 1
+        out = textwrap.dedent("\n".join(own)).strip("\n")
+        if style[0] == ">":
+            out = re.sub(r"\n(\n*)", lambda m: m[1] or " ", out)
+        return out + ("" if style.endswith("-") or not out else "\n")
 
 
 def frontmatter_json(block: str | None) -> str | None:
-    """Keys with scalars and lists, as people write them at the top of notes, as a JSON object; None if it can't be read."""
+    """Fields with scalars, lists, nested fields and text blocks, as people write them at the top of notes, as a JSON object; None if it
+    can't be read."""
     if block is None:
         return None
-    out, key = {}, None
+    reader = FrontReader(block)
     try:
-        for line in block.split("\n"):
-            line = line.rstrip("\r")
-            if not line.strip() or line.lstrip().startswith("#"):
-                continue
-            if m := re.fullmatch(r"\s*-\s+(.*)", line):
-                if key is None:
-                    return None
-                if not isinstance(out[key], list):
-                    if out[key] is not None:
-                        return None
-                    out[key] = []
-                out[key].append(_scalar(m[1]))
-            elif m := re.fullmatch(r"([^\s:#][^:]*):(?:\s+(.*))?", line):
-                key, value = m[1].strip(), (m[2] or "").strip()
-                if value.startswith("["):
-                    if not value.endswith("]"):
-                        return None
-                    out[key] = _flow(value[1:-1])
-                else:
-                    out[key] = _scalar(value)
-            else:
-                return None
+        first = reader.peek()
+        out = reader.node(first[0]) if first else {}
+        return json.dumps(out, ensure_ascii=False) if isinstance(out, dict) and reader.peek() is None else None
     except ValueError:
         return None
-    return json.dumps(out, ensure_ascii=False)
 
 
 @vectorised("string")
