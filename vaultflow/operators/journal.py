@@ -154,8 +154,8 @@ def blame(lines_of: DataFrame, versions: DataFrame, attributions: DataFrame, unk
     """(vault, rel_path, line, text, agent, at) of each line of the files (vault, rel_path, text).
 
     A line is dated by the first version that holds it; one that the oldest version holds, or a blank one, has no writer. A line that
-    no version holds is dated by the oldest version (or the newest). Whole lines are looked up by equality; only lines
-    that no version has as a whole are searched inside the versions of their page."""
+    no version holds is dated by the oldest version (or the newest). Distinct lines are searched inside the versions of their own page only: an
+    earlier version may hold a line as a part of a longer one, so equal lines alone would date it too late."""
     lines = lines_of.select("vault", "rel_path", F.posexplode(F.split("text", "\n")).alias("line", "line_text"))
     lines = lines.withColumn("line", F.col("line") + 1)
     known = lines.filter(F.trim("line_text") != "")
