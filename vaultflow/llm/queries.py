@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, html_extract, langid, mixing, ngram_join, quality, sharding, suffix_dedup, url_filters
+from . import bpe, decontamination, fingerprints, html_extract, langid, mixing, ngram_join, quality, sharding, suffix_dedup, url_filters
 from .common import tables
 
 
@@ -46,7 +46,15 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprints.fingerprint_documents(tables(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_sharding, op4_ngram_join, op5_html_extract, op6_url_filters, op7_quality, op8_language_id, op9_mixing, op10_fingerprints)}
+def op13_bpe(spark, sf_dir, path: str | None = None):
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.digest_documents(tables(spark, sf_dir, "documents"), path)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_sharding, op4_ngram_join, op5_html_extract, op6_url_filters, op7_quality, op8_language_id, op9_mixing, op10_fingerprints, op13_bpe)}
 ORACLE = {
     "op2_decontamination": decontamination.ORACLE,
     "op3_sharding": sharding.ORACLE,
