@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, fingerprints, html_extract, langid, mixing, ngram_join, quality, sharding, suffix_dedup, url_filters
+from . import bpe, decontamination, fingerprints, html_extract, langid, merkle, mixing, ngram_join, quality, sharding, suffix_dedup, url_filters
 from .common import tables
 
 
@@ -46,6 +46,10 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprints.fingerprint_documents(tables(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark, sf_dir):
+    return merkle.verify_documents(tables(spark, sf_dir, "documents"))
+
+
 def op13_bpe(spark, sf_dir, path: str | None = None):
     if path is None:
         import public_tokenizers
@@ -54,11 +58,12 @@ def op13_bpe(spark, sf_dir, path: str | None = None):
     return bpe.digest_documents(tables(spark, sf_dir, "documents"), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_sharding, op4_ngram_join, op5_html_extract, op6_url_filters, op7_quality, op8_language_id, op9_mixing, op10_fingerprints, op13_bpe)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_sharding, op4_ngram_join, op5_html_extract, op6_url_filters, op7_quality, op8_language_id, op9_mixing, op10_fingerprints, op11_merkle, op13_bpe)}
 ORACLE = {
     "op2_decontamination": decontamination.ORACLE,
     "op3_sharding": sharding.ORACLE,
     "op6_url_filters": url_filters.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op10_fingerprints": fingerprints.ORACLE,
+    "op11_merkle": merkle.ORACLE,
 }
