@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, fingerprints, html_extract, langid, merkle, mixing, ngram_join, quality, sharding, suffix_dedup, url_filters
+from . import bpe, decontamination, fingerprints, html_extract, langid, merkle, mixing, negatives, ngram_join, quality, sharding, suffix_dedup, url_filters
 from .common import tables
 
 
@@ -50,6 +50,10 @@ def op11_merkle(spark, sf_dir):
     return merkle.verify_documents(tables(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark, sf_dir):
+    return negatives.mine_embeddings(tables(spark, sf_dir, "embeddings"))
+
+
 def op13_bpe(spark, sf_dir, path: str | None = None):
     if path is None:
         import public_tokenizers
@@ -58,7 +62,7 @@ def op13_bpe(spark, sf_dir, path: str | None = None):
     return bpe.digest_documents(tables(spark, sf_dir, "documents"), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_sharding, op4_ngram_join, op5_html_extract, op6_url_filters, op7_quality, op8_language_id, op9_mixing, op10_fingerprints, op11_merkle, op13_bpe)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_sharding, op4_ngram_join, op5_html_extract, op6_url_filters, op7_quality, op8_language_id, op9_mixing, op10_fingerprints, op11_merkle, op12_hard_negatives, op13_bpe)}
 ORACLE = {
     "op2_decontamination": decontamination.ORACLE,
     "op3_sharding": sharding.ORACLE,
@@ -66,4 +70,5 @@ ORACLE = {
     "op9_mixing": mixing.ORACLE,
     "op10_fingerprints": fingerprints.ORACLE,
     "op11_merkle": merkle.ORACLE,
+    "op12_hard_negatives": negatives.ORACLE,
 }
