@@ -496,6 +496,8 @@ def test_pipeline_of_odd_rows(spark, odd, none, tmp_path):
         for name, stage in p.STAGES:
             docs = materialize(stage(spark, docs, sf))
             assert name == "sharding" or docs.columns == columns
+            carried = [c for c in CLASH if name != "sharding" or c not in ("shard", "slot")]
+            assert all(set(r) == {"x"} for r in docs.select(*carried).collect())
         rows = docs.collect()
         assert bool(rows) == left and all(r.text and r.text.strip() for r in rows)
         assert len({(r.shard, r.slot) for r in rows}) == len(rows) and max(collections.Counter((r.doc_id, r.text) for r in rows).values(), default=0) <= 3
@@ -505,4 +507,4 @@ def test_pipeline_of_odd_rows(spark, odd, none, tmp_path):
 
 
 def test_registered():
-    assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES} == {str(i) for i in (*range(1, 12), 13)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES} == {str(i) for i in range(1, 14)}

@@ -13,7 +13,8 @@ anchors, which Spark shuffles.
 
 Defined cases: null and empty texts have no words and no hits; an item without words has no
 windows; items that share windows are all counted; repeated documents are told apart; an empty
-benchmark leaves every document clean; other columns are carried through ``decontaminate``.
+benchmark leaves every document clean; texts of any length are scanned whole; other columns, whatever their names, are carried
+through ``decontaminate`` and ``remove_spans`` as they are; ``score`` replaces those that have the names of its own.
 """
 
 from __future__ import annotations
@@ -79,22 +80,28 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), zero, add, lambda s: s["n"])
 
 
-def score(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """docs with n_words, n_hit, n_items, items, contaminated and hit_spans."""
-    names = ("n_words", "n_hit", "n_items", "items", "contaminated", "hit_spans")
-    docs = docs.drop(*names)
-    key, other = temp_name(docs, "text_hash"), temp_name(docs, "item_list")
+def judged(docs: DataFrame, benchmark: DataFrame, name: str, width: int = WIDTH, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """docs with one more column, a struct of n_words, n_hit, n_items, items, contaminated and hit_spans."""
+    key, items, spans = (temp_name(docs, x) for x in ("text_hash", "item_list", "span_list"))
     # Equal texts have equal hits: what is found is keyed by the text's 128-bit hash (null for a null text, which has none).
     docs = docs.withColumn(key, F.md5("text"))
     found = hits(docs.select(key, "text"), key, benchmark, width, max_windows)
-    spans = found.groupBy(key).agg(F.collect_set(F.struct("start", "length")).alias("hit_spans"), F.collect_set(F.col("item_id").cast("string")).alias(other))
-    out = docs.join(spans, key, "left")
+    by_text = found.groupBy(key).agg(F.collect_set(F.struct("start", "length")).alias(spans), F.collect_set(F.col("item_id").cast("string")).alias(items))
+    out = docs.join(by_text, key, "left")
     n_words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD_ANY_CASE)).cast("long")
-    empty = F.array().cast("array<struct<start:int,length:int>>")
-    out = out.withColumn("hit_spans", F.coalesce("hit_spans", empty)).withColumn("items", F.array_sort(F.coalesce(F.col(other), F.array().cast("array<string>"))))
-    out = out.withColumn("n_words", n_words).withColumn("n_hit", covered(F.col("hit_spans")))
-    out = out.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-    return out.drop(key, other)
+    out = out.withColumn(spans, F.coalesce(spans, F.array().cast("array<struct<start:int,length:int>>")))
+    out = out.withColumn(items, F.array_sort(F.coalesce(F.col(items), F.array().cast("array<string>"))))
+    kept = F.struct(n_words.alias("n_words"), covered(F.col(spans)).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.col(items).alias("items"), F.col(spans).alias("hit_spans"))
+    out = out.withColumn(name, kept).drop(key, items, spans)
+    rule = (F.col(name)["n_hit"] > 0) & (20 * F.col(name)["n_hit"] >= F.col(name)["n_words"])
+    return out.withColumn(name, F.col(name).withField("contaminated", rule))
+
+
+def score(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """docs with n_words, n_hit, n_items, items, contaminated and hit_spans; columns of the caller that have these names give way."""
+    names = ("n_words", "n_hit", "n_items", "items", "contaminated", "hit_spans")
+    name = temp_name(docs, "judged")
+    return judged(docs.drop(*names), benchmark, name, width, max_windows).withColumns({n: F.col(name)[n] for n in names}).drop(name)
 
 
 #: WORD over text that isn't lower-cased.
@@ -103,17 +110,18 @@ WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents that aren't contaminated, with their own columns."""
-    flag = score(docs, benchmark, width)
-    return flag.filter(~F.col("contaminated")).select(*docs.columns)
+    name = temp_name(docs, "judged")
+    return judged(docs, benchmark, name, width).filter(~F.col(name)["contaminated"]).select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with ``text`` without the hit words; what stands between the words stays."""
-    scored = score(docs, benchmark, width)
+    name = temp_name(docs, "judged")
+    spans = F.col(name)["hit_spans"]
     parts = F.expr(f"regexp_extract_all(text, '([^A-Za-z0-9\\\\x80-\\\\x{{10FFFF}}]*)([A-Za-z0-9\\\\x80-\\\\x{{10FFFF}}]*)', 0)")
-    keep = F.filter(F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda x: ~F.exists("hit_spans", lambda s: (x["i"] >= s["start"]) & (x["i"] < s["start"] + s["length"])))
-    cleaned = F.when(F.size("hit_spans") > 0, F.array_join(F.transform(keep, lambda x: x["p"]), "")).otherwise(F.col("text"))
-    return scored.withColumn("text", cleaned).select(*docs.columns)
+    keep = F.filter(F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda x: ~F.exists(spans, lambda s: (x["i"] >= s["start"]) & (x["i"] < s["start"] + s["length"])))
+    cleaned = F.when(F.size(spans) > 0, F.array_join(F.transform(keep, lambda x: x["p"]), "")).otherwise(F.col("text"))
+    return judged(docs, benchmark, name, width).withColumn("text", cleaned).select(*docs.columns)
 
 
 def score_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -11,12 +11,13 @@ of a seeded hash (of doc_id, or of the text where that is null) are taken once m
 
 Defined cases: a null source is a source of its own and comes last; a null or empty text has
 no words and is never taken; a source without words has target 0; an empty table gives no
-rows; equal rows are told apart by their order only.
+rows; equal rows are told apart by their order only; a text of any length counts with all its words; other columns, whatever their names, are
+carried by ``sample`` as they are, while ``mix`` replaces those that have the names of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,34 +45,53 @@ def targets(sizes: DataFrame, max_epochs: int = 3, weights: tuple[int, ...] = (1
     return s.select("source", "source_size", F.round(target, 6).alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix-1", max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """docs with ``size``, ``source_size``, ``target``, ``copies`` and ``taken``."""
-    docs = docs.drop("size", "source_size", "target", "copies", "taken")
-    h, key, part, start, run = (temp_name(docs, x) for x in ("hash", "key", "part", "start", "run"))
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(TOKEN)).cast("long")
-    sized = docs.withColumn("size", size).withColumn(h, F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("")))))
+def mixed(docs: DataFrame, name: str, seed: str = "mix-1", max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """docs with one more column, a struct of size, source_size, target, copies and taken."""
+    h, key, part, start, run, size, total, goal = (temp_name(docs, x) for x in ("hash", "key", "part", "start", "run", "size", "total", "goal"))
+    words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(TOKEN)).cast("long")
+    sized = docs.withColumn(size, words).withColumn(h, F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("")))))
     sized = sized.withColumn(part, F.substring(h, 1, PREFIX)).withColumn(key, F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     # One row for each source and hash prefix: what the prefixes before hold.
-    parts = sized.groupBy(key, part).agg(F.sum("size").alias("part_size"))
+    parts = sized.groupBy(key, part).agg(F.sum(size).alias("part_size"))
     sums = parts.groupBy(key).agg(F.sum("part_size").alias("source_size"))
     named = sums.withColumn("source", F.when(F.col(key) != "", F.expr(f"substring({key}, 2)")))
-    goal = targets(named, max_epochs, weights).select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias(key), "source_size", "target")
+    goals = targets(named, max_epochs, weights).select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias(key), F.col("source_size").alias(total), F.col("target").alias(goal))
     in_order = Window.partitionBy(key).orderBy(part)
-    starts = parts.select(key, part, (F.sum("part_size").over(in_order) - F.col("part_size")).alias(start)).join(goal, key)
-    own = Window.partitionBy(key, part).orderBy(h, "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    out = sized.withColumn(run, F.sum("size").over(own)).join(starts, [key, part])
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    part_words = F.col("target") - whole * F.col("source_size")
-    more = (F.col("size") > 0) & (F.col(start) + F.col(run) - F.col("size") / 2 <= part_words)
-    copies = F.when(F.col("size") > 0, whole + more.cast("int")).otherwise(0).cast("int")
-    out = out.withColumn("copies", copies).withColumn("taken", (F.col("size") * F.col("copies")).cast("long"))
-    return out.drop(h, key, part, start, run)
-
-
-def repeat(mixed: DataFrame) -> DataFrame:
+    starts = parts.select(key, part, (F.sum("part_size").over(in_order) - F.col("part_size")).alias(start)).join(goals, key)
+    # Rows of one doc_id and size may differ in their text, so its hash decides between them on every run.
+    own = Window.partitionBy(key, part).orderBy(h, "doc_id", size, F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
+    out = sized.withColumn(run, F.sum(size).over(own)).join(starts, [key, part])
+    whole = F.when(F.col(total) > 0, F.floor(F.col(goal) / F.col(total))).otherwise(0)
+    part_words = F.col(goal) - whole * F.col(total)
+    more = (F.col(size) > 0) & (F.col(start) + F.col(run) - F.col(size) / 2 <= part_words)
+    copies = F.when(F.col(size) > 0, whole + more.cast("int")).otherwise(0).cast("int")
+    taken = (F.col(size) * copies).cast("long")
+    out = out.withColumn(name, F.struct(F.col(size).alias("size"), F.col(total).alias("source_size"), F.col(goal).alias("target"), copies.alias("copies"), taken.alias("taken")))
+    return out.drop(h, key, part, start, run, size, total, goal)
+
+
+def mix(docs: DataFrame, seed: str = "mix-1", max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """docs with ``size``, ``source_size``, ``target``, ``copies`` and ``taken``; columns of the caller that have these names give way."""
+    names = ("size", "source_size", "target", "copies", "taken")
+    name = temp_name(docs, "mixed")
+    return mixed(docs.drop(*names), name, seed, max_epochs, weights).withColumns({n: F.col(name)[n] for n in names}).drop(name)
+
+
+def times(rows: DataFrame, copies: Column) -> DataFrame:
     """Each row as often as ``copies`` says."""
-    copy = temp_name(mixed, "copy")
-    return mixed.filter("copies > 0").withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop(copy)
+    copy = temp_name(rows, "copy")
+    return rows.filter(copies > 0).withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies))).drop(copy)
+
+
+def repeat(rows: DataFrame) -> DataFrame:
+    """Each row of what ``mix`` returns as often as its ``copies`` says."""
+    return times(rows, F.col("copies"))
+
+
+def sample(docs: DataFrame, seed: str = "mix-1", max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with their own columns."""
+    name = temp_name(docs, "mixed")
+    return times(mixed(docs, name, seed, max_epochs, weights), F.col(name)["copies"]).select(*docs.columns)
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:

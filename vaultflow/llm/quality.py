@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_byte
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1; each text is read whole."""
+    """docs with a score from 0 to 1; each text is read whole. A column of the caller that has the name gives way."""
     docs = docs.drop(name)
     fields = [f for f in docs.schema.fields]
     text = temp_name(docs, "text")

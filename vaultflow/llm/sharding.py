@@ -80,7 +80,7 @@ def number_rows(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame,
 
 
 def shard(df: DataFrame, order: list[str], shards: int, seed: int = 17) -> DataFrame:
-    """df with ``shard`` and ``slot``."""
+    """df with ``shard`` and ``slot``; columns of the caller that have these names give way."""
     if shards < 1:
         raise ValueError("shards must be 1 or more")
     number, place = temp_name(df, "number"), temp_name(df, "place")
