@@ -5,13 +5,13 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import content_hash, half_up, strip_extension
 from ..functions.udf import vectorised
-from . import trust
+from . import grams, trust
 
 
 def common_ends(old: list[str], new: list[str]) -> tuple[int, int]:
@@ -66,12 +66,15 @@ def version_at(versions: DataFrame, at) -> DataFrame:
 
 
 def search_history(versions: DataFrame, queries: DataFrame, most: int = 40) -> DataFrame:
-    """(query_id, vault, rel_path, at, line) for queries of 3 characters or more: the first line of each version that holds the
-    text. The queries are few; they are the broadcast side of a contains join when Spark finds them small."""
-    q = queries.select("query_id", F.lower(F.trim("query")).alias("needle")).filter(F.length("needle") >= 3)
-    both = versions.join(q, F.lower(F.col("text")).contains(F.col("needle")))
-    line = F.get(F.filter(F.split("text", "\n"), lambda x: F.lower(x).contains(F.col("needle"))), F.lit(0))
-    out = both.select("query_id", "vault", "rel_path", "at", F.substring(F.trim(line), 1, 240).alias("line"))
+    """(query_id, vault, rel_path, at, line) for queries of 3 characters or more: the first line of each version that holds the text."""
+    q = queries.select("query_id", F.lower(F.trim("query")).alias("phrase")).filter(F.length("phrase") >= 3)
+    x = versions.select("vault", "rel_path", "at", "text", F.lower("text").alias("b"))
+
+    def first_line(q: Column) -> Column:
+        line = F.get(F.filter(F.split("text", "\n"), lambda x: F.lower(x).contains(q)), F.lit(0))
+        return F.when(F.col("b").contains(q), F.struct(F.substring(F.trim(line), 1, 240).alias("line")))
+
+    out = grams.matches(q, x, ["vault", "rel_path", "at"], F.col("b"), first_line).join(q, "phrase").select("query_id", "vault", "rel_path", "at", "value.line")
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("at"), "vault", "rel_path"))).filter(F.col("rank") <= most)
 
 

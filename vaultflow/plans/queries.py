@@ -543,7 +543,7 @@ def search_snippets(s, d):
 
 @query("select q.query_id, p.vault, p.page_id, row_number() over (partition by q.query_id, p.vault order by p.page_id)::int as rank from pages p join queries q on contains(lower(title), lower(q.query)) or contains(lower(plain), lower(q.query)) qualify rank <= 25")
 def simple_search(s, d):
-    return rank.simple_search(v.queries(s, d), v.pages(s, d)).drop("title").withColumn("query_id", F.col("query_id").cast("int"))
+    return rank.simple_search(v.queries(s, d), materialize(v.pages(s, d))).drop("title").withColumn("query_id", F.col("query_id").cast("int"))
 
 
 VEC = f"""
