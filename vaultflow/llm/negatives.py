@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 from .common import discard, materialize
 
 #: Rows of a tree, of a leaf, children of a node, anchors that meet a tree in one task.
-ROWS, LEAF, FAN, ANCHORS = 65_536, 128, 16, 50_000
+ROWS, LEAF, FAN, ANCHORS = 65_536, 1024, 16, 50_000
 SCALE = 256
 
 
@@ -157,9 +157,9 @@ class Tree:
         lower = (total - np.square(d + self.radius)) / 2
         return np.floor(upper + slack), np.ceil(lower - slack)
 
-    def search(self, anchor: np.ndarray, upper: np.ndarray, lower: np.ndarray, k: int, window: tuple[float, float], seen: dict, label: int, same: bool, uid: int) -> list[tuple[int, int]]:
+    def search(self, anchor: np.ndarray, upper: np.ndarray, lower: np.ndarray, k: int, window: tuple[float, float], seen: dict, label: int, same: bool, uid: int, least_score: int = -(1 << 62)) -> list[tuple[int, int]]:
         """The first k of (-score, id) within the window, of rows that have the label (``same``) or another one. ``seen`` keeps the
-        scores of leaves for the anchor's next window."""
+        sorted scores of leaves for the anchor's next window, down to ``least_score``."""
         lo, hi = window
         best: list[tuple[int, int]] = []
         heap = [(-min(upper[0], hi), int(self.least[0]), 0)]
@@ -174,15 +174,18 @@ class Tree:
                 for c in range(a, a + self.children[node]):
                     heapq.heappush(heap, (-min(upper[c], hi), int(self.least[c]), c))
                 continue
-            a, b = int(self.start[node]), int(self.end[node])
-            if node not in seen:
-                seen[node] = (self.rows[a:b] @ anchor).astype(np.int64)
-            scores = seen[node]
-            fits = (scores >= lo) & (scores <= hi) & ((self.labels[a:b] == label) == same) & (self.uids[a:b] != uid)
-            at = np.flatnonzero(fits)
-            if len(at):
-                first = at[np.lexsort((self.ids[a:b][at], -scores[at]))[:k]]
-                best = sorted([*best, *zip((-scores[first]).tolist(), self.ids[a:b][first].tolist(), strict=True)])[:k]
+            if node not in seen:  # rows of a leaf stand by id, so a stable sort keeps that order among equal scores
+                a, b = self.start[node], self.end[node]
+                at = np.flatnonzero(((self.labels[a:b] == label) == same) & (self.uids[a:b] != uid)) + a
+                scores = -(self.rows[at] @ anchor).astype(np.int64)
+                at, scores = at[scores <= -least_score], scores[scores <= -least_score]
+                order = np.argsort(scores, kind="stable")
+                seen[node] = scores[order], self.ids[at[order]]
+            scores, ids = seen[node]
+            i = int(np.searchsorted(scores, -hi))
+            more = [x for x in zip(scores[i : i + k].tolist(), ids[i : i + k].tolist(), strict=True) if x[0] <= -lo]
+            if more:
+                best = sorted([*best, *more])[:k]
         return best
 
 
@@ -242,9 +245,9 @@ def meet(trees: DataFrame, anchors: DataFrame, blocks: int, k: int, same: bool)
         for a in range(0, len(q), 256):
             upper, lower = tree.bounds(q[a : a + 256])
             for i in range(a, min(a + 256, len(q))):
-                seen, anchor = {}, q[i].astype(tree.kind)
+                seen, anchor, least = {}, q[i].astype(tree.kind), min(x["lo"] for x in tops[i])
                 for lo, hi in ((x["lo"], x["hi"]) for x in tops[i]):
-                    for score, row in tree.search(anchor, upper[i - a], lower[i - a], k, (lo, hi), seen, labels[i], same, uids[i]):
+                    for score, row in tree.search(anchor, upper[i - a], lower[i - a], k, (lo, hi), seen, labels[i], same, uids[i], least):
                         yield uids[i], ids[i], hi, row, -score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
