@@ -8,7 +8,7 @@ import pytest
 from conftest import DATA
 
 from vaultflow import registry
-from vaultflow.operators import packs, usage
+from vaultflow.operators import mentions, packs, usage
 from vaultflow.plans import views
 
 
@@ -125,14 +125,67 @@ def test_search_snippets(spark, page_rows):
     assert rows
 
 
+def suggested(raw, self_id, targets, linked, limit=25):
+    """Names longest first, each by an expression of its own with spelled-out borders; the first place that is neither masked nor claimed."""
+    spans, out = [m.span() for p in mentions.MASKED for m in p.finditer(raw)], []
+    if raw.startswith("---") and (end := raw.find("\n---", 3)) >= 0:
+        spans.append((0, end + 4))
+    names = {(n, t) for t, own in targets if t != self_id and t not in linked for n in own if len(n) >= 4 and n.lower() not in mentions.GENERIC}
+    for name, target in sorted(names, key=lambda x: (-len(x[0]), *x)):
+        if len(out) >= limit:
+            break
+        for m in re.finditer(rf"(^|[^\w\[\]-])({re.escape(name)})(?=$|[^\w-])", raw.translate(mentions.ONE_CASE), re.A | re.I):
+            at, end = m.start(2), m.end(2)
+            if all(end <= a or at >= b for a, b in spans):
+                out.append((at, raw[at:end], target))
+                spans.append((at, end))
+                break
+    return out
+
+
 def test_link_suggestions(spark, page_rows):
-    """What is suggested stands in the text as a word of its own and is the title of the target; no page links itself."""
-    text = {(p.vault, p.page_id): p.plain for p in page_rows}
-    title = {(p.vault, p.page_id): (re.search("[A-Za-z]{9,}", p.plain) or [""])[0] for p in page_rows}
-    linked = {(r.vault, r.src, r.dst) for r in registry.QUERIES["link_edges"](spark, DATA).collect()}
+    """Every suggestion of every page, and no other."""
+    title = {(p.vault, p.page_id): m[0] for p in page_rows if (m := re.search("[A-Za-z]{9,}", p.plain))}
+    linked = collections.defaultdict(set)
+    for r in registry.QUERIES["link_edges"](spark, DATA).collect():
+        linked[r.vault, r.src].add(r.dst)
+    alias = {(p.vault, p.page_id): p.aliases for p in page_rows}
+    want = set()
+    for p in page_rows:
+        targets = [(i, [t, *alias[v, i]]) for (v, i), t in title.items() if v == p.vault]
+        want |= {(p.vault, p.page_id, *x) for x in suggested(p.plain, p.page_id, targets, linked[p.vault, p.page_id])}
     rows = registry.QUERIES["link_suggestions"](spark, DATA).collect()
-    for r in rows:
-        own = text[r.vault, r.page_id]
-        assert own[r.at : r.at + len(r.mention)] == r.mention and r.mention.lower() == title[r.vault, r.target].lower() and r.target != r.page_id
-        assert not re.search(r"\w$", own[: r.at], re.A) and not re.match(r"\w", own[r.at + len(r.mention) :], re.A) and (r.vault, r.page_id, r.target) not in linked
-    assert rows
+    assert want and {(r.vault, r.page_id, r.at, r.mention, r.target) for r in rows} == want
+    text = {(p.vault, p.page_id): p.plain for p in page_rows}
+    assert all(r.mention in r.line or len(r.line) == 200 for r in rows) and all(r.line in text[r.vault, r.page_id] for r in rows)
+    changed = {(r.vault, r.rel_path): r.text for r in registry.QUERIES["linked_pages"](spark, DATA).collect()}
+    for v, i in {(v, i) for v, i, *_ in want}:
+        raw = text[v, i]
+        for _, _, at, mention, _ in sorted((x for x in want if x[:2] == (v, i)), key=lambda x: -x[2]):
+            raw = f"{raw[:at]}[[{mention}]]{raw[at + len(mention):]}"
+        assert changed[v, f"{i}.md"] == raw
+
+
+@pytest.mark.parametrize(("at_once", "together"), [(50_000, 4000), (3, 2)])
+def test_mentions_of_odd_pages(spark, at_once, together, monkeypatch):
+    """Names in code, links and headings, names that overlap, that many pages bear, with signs and beyond ASCII; several automata and tasks."""
+    monkeypatch.setattr(mentions, "NAMES", at_once)
+    monkeypatch.setattr(mentions, "TEXTS", together)
+    monkeypatch.setattr(mentions.mentioned, "__defaults__", (at_once, together))
+    names = {"a": ["Context"], "b": ["Context Window", "the window"], "c": ["Élan vital", "C++ guide"], "d": ["Shared name"], "e": ["shared name"], "f": ["Shared Name", "notes", "abc"], "g": ["(x) y"], "h": ["Window Pane"]}
+    texts = {
+        "a": "---\ntitle: Context Window\n---\n# Context Window\nthe context window pane, `Context Window` and [[Context Window]]. élan VITAL",
+        "b": "Context\ncontext-free Context_ [Context](x) https://q/Context contexts (Context)",
+        "c": "shared name, shared name; SHARED NAME and shared name.\nC++ guide C++ guides",
+        "d": "shared name shared name (x) y(x) y (x) y",
+        "e": "",
+        "f": "the window pane ```Context``` Élan vitalé élan vital notes",
+        "z": None,
+    }
+    files = spark.createDataFrame([("v", f"{k}.md", t) for k, t in texts.items()] + [("w", "a.md", "Context Window")], "vault string, rel_path string, text string")
+    pages = spark.createDataFrame([("v", k, n[0], n[1:]) for k, n in names.items()], "vault string, page_id string, title string, aliases array<string>")
+    edges = spark.createDataFrame([("v", "c", "d"), ("v", "b", "h")], "vault string, src string, dst string")
+    linked = {"c": {"d"}, "b": {"h"}}
+    got = sorted((r.page_id, r.at, r.mention, r.target) for r in mentions.suggest_links(files, pages, edges).collect())
+    assert got == sorted((k, *x) for k, t in texts.items() for x in suggested(t or "", k, list(names.items()), linked.get(k, set())))
+    assert len(got) > 8

@@ -133,8 +133,9 @@ def test_passages():
 
 def test_mentions():
     raw = "# Context Window\nthe Context Window and Context, `Context`, [[Context]] https://x/Context ending Context-free"
-    found = mentions.find_mentions(raw, [("Context", "c"), ("Context Window", "w")], 25, False)
-    assert [(s["mention"], s["target"]) for s in found] == [("Context Window", "w"), ("Context", "c")]
+    places = mentions.free_places(raw, mentions.automaton(["CONTEXT", "CONTEXT WINDOW"]))
+    names = [{"places": places[n.upper()], "bearers": [{"name": n, "target": t}]} for n, t in (("Context", "c"), ("Context Window", "w"))]
+    assert [(s["mention"], s["target"]) for s in mentions.choose(names, 25, False)] == [("Context Window", "w"), ("Context", "c")]
     assert mentions.put_links("a Context b", [(2, "Context"), (9, "zz")]) == "a [[Context]] b"
 
 
