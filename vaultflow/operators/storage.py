@@ -32,4 +32,29 @@ def materialize(df: DataFrame) -> DataFrame:
     """df written as Parquet and read back."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/vf-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def materialize_by(df: DataFrame, key: str, dealt: bool = False) -> DataFrame:
+    """df as a table in as many buckets of key as a shuffle has parts, one file each: joins and sums by key leave its rows where they are.
+    dealt: df's rows are by key already, so nothing is shuffled before they are written."""
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"vf_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}"
+    rows = df if dealt else df.repartition(n, key)
+    rows.sortWithinPartitions(key).write.format("parquet").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
+    out = spark.table(name)
+    out.stored_at, out.stored_as = path, name
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what was written; nothing that is still to run may read it."""
+    for df in written:
+        if hasattr(df, "stored_as"):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.stored_as}")
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

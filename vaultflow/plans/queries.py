@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import DAY, format_tokens, slugify, strip_leading_title, target_path, token_count
 from ..operators import analysis, health, ingest, journal, links, mentions, packs, pages, rank, schema, similar, trust, usage, vectors
-from ..operators.storage import materialize
+from ..operators.storage import materialize, shared_folder
+from ..sources import files as sources
 from . import views as v
 
 QUERIES: dict = {}
@@ -859,3 +862,135 @@ def version_growth(s, d):
 def version_diffs(s, d):
     x = v.versions(s, d).withColumn("before", F.lag("text").over(Window.partitionBy("vault", "rel_path").orderBy("at"))).filter("before is not null")
     return x.select("vault", "rel_path", "at", F.explode(journal.diff_lines("before", "text")).alias("line")).select("vault", "rel_path", "at", "line.op", "line.text")
+
+
+# ---- files, logs and stores, written by Spark in the shared folder and read back
+def new_folder(s):
+    return f"{shared_folder(s).rstrip('/')}/vf-{uuid.uuid4().hex}"
+
+
+@query("select vault, t, agent, page, query, hits, floor(epoch(at))::bigint as at_s from usage where event_id % 17 <> 0 and at >= timestamp '2024-01-10 00:00:00'")
+def log_events(s, d):
+    """A log of JSON lines, every seventeenth of them torn, read back from a day on."""
+    line = F.to_json(F.struct("vault", "t", "at", "agent", "page", "query", "hits"))
+    torn = F.when(F.col("event_id") % 17 == 0, F.substring(line, F.lit(1), F.floor(F.length(line) / 2).cast("int"))).otherwise(line)
+    path = new_folder(s)
+    v.usage(s, d).select(torn.alias("value")).write.text(path)
+    return sources.read_log(s, path, sources.USAGE, since="2024-01-10").select("vault", "t", "agent", "page", "query", "hits", secs("at").alias("at_s"))
+
+
+@query("select page_id, hash, 'ann' as signer from ledger")
+def ledger_store(s, d):
+    """A keyed store of signatures, an object of about a thousand pages a line."""
+    ledger, path = v.ledger(s, d), new_folder(s)
+    parts = max(1, ledger.count() // 1000)
+    entry = F.struct("page_id", F.struct("hash", "by"))
+    ledger.groupBy(F.pmod(F.xxhash64("vault", "page_id"), F.lit(parts)).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).select("value").write.text(path)
+    return sources.read_store(s, path, "hash:string,by:string", lines=True).withColumnRenamed("by", "signer")
+
+
+IGNORED = ["# drafts", "", "/area-1/", "topic-*2", "doc-?.md", "area-3/**/doc-*7.md"]
+
+
+@query(r"""select vault, rel_path from pages where not regexp_matches(rel_path, '^area-1(/|$)') and not regexp_matches(rel_path, '(^|/)topic-[^/]*2(/|$)')
+and not regexp_matches(rel_path, '(^|/)doc-[^/][.]md(/|$)') and not regexp_matches(rel_path, '(^|/)area-3/.*/doc-[^/]*7[.]md(/|$)')""")
+def listed_files(s, d):
+    return sources.apply_ignore(v.pages(s, d), IGNORED).select("vault", "rel_path")
+
+
+FENCED = "case when doc_id % 9 = 0 then '---\n{bad}\n---\n' || plain when doc_id % 9 = 1 then '---\ntitle: A title\n---\n' || plain else plain end"
+
+
+@query("""select vault, page_id, doc_id % 9 = 0 as unreadable, case when doc_id % 9 = 1 then 'A title' end as title, md5(case when doc_id % 9 = 0 then '---' || chr(10) || 'title: [' || chr(10) || '---' || chr(10) || plain else plain end) as body
+from pages""")
+def malformed_pages(s, d):
+    """Pages some of which begin with a block that can't be read: these keep their whole text as body and are reported."""
+    f = v.pages(s, d).select("vault", "rel_path", "mtime", "doc_id", F.expr(FENCED.format(bad="title: [")).alias("text"))
+    p = pages.parse_pages(f)
+    errors = pages.parse_errors(p).select("vault", "rel_path", F.lit(True).alias("unreadable"))
+    title = F.get_json_object("frontmatter_json", "$.title")
+    return p.join(errors, ["vault", "rel_path"], "left").select("vault", "page_id", F.coalesce("unreadable", F.lit(False)).alias("unreadable"), title.alias("title"), F.md5("body").alias("body"))
+
+
+@query("select vault, page_id, title, words, hash from pages")
+def written_index(s, d):
+    path = new_folder(s)
+    sources.write_index(v.pages(s, d), path)
+    return s.read.parquet(path).select("vault", "page_id", "title", "words", "hash")
+
+
+@query("""
+select distinct ext, substring(sha1(content), 1, 16) as hash, 'assets/' || substring(sha1(content), 1, 16) || '.' || ext as rel_path from
+(select case doc_id % 6 when 0 then 'gif' when 1 then 'bmp' when 2 then 'webp' when 3 then 'jpg' when 4 then 'png' end as ext,
+ case doc_id % 6 when 0 then 'GIF89a'::blob when 1 then 'BM'::blob when 2 then 'RIFF1234WEBP'::blob when 3 then unhex('FFD8FF') when 4 then unhex('89504E47') else 'x'::blob end || encode(text) as content from documents) where ext is not null""", with_views=False)
+def stored_images(s, d):
+    magic = F.expr("case doc_id % 6 when 0 then binary('GIF89a') when 1 then binary('BM') when 2 then binary('RIFF1234WEBP') when 3 then unhex('FFD8FF') when 4 then unhex('89504E47') else binary('x') end")
+    files = v.table(s, d, "documents").select(F.concat(magic, F.col("text").cast("binary")).alias("content"))
+    return ingest.store_attachments(files).select("ext", "hash", "rel_path")
+
+
+# ---- every order, filter and reply
+ORDERS = {"title": "title", "folder": "folder, title", "tags": "len(tags) desc", "words": "words desc", "mtime": "mtime desc", "backlinks": "coalesce(inbound, 0) desc"}
+
+
+@query("".join(f"{', ' if not i else ''}o{i} as (select '{name}' as sort, p.vault, p.page_id, row_number() over (partition by p.vault order by {order}, p.page_id)::int as rank from pages p left join inbound using (vault, page_id) qualify rank <= 200){', ' if i < 5 else ''}" for i, (name, order) in enumerate(ORDERS.items())) + " union all ".join(f"{' ' if not i else ''}select * from o{i}" for i in range(6)))
+def explorer_orders(s, d):
+    rows, inbound = materialize(v.pages(s, d)), links.inbound(edges_of(s, d))
+    each = [health.explorer(rows, inbound, sort).select(F.lit(sort).alias("sort"), "vault", "page_id", "rank") for sort in ORDERS]
+    return functools.reduce(lambda a, b: a.unionByName(b), each)
+
+
+@query("""
+select 'folder' as by_what, vault, page_id from pages where folder = 'area-1/topic-1' union all select 'path', vault, page_id from pages where rel_path = 'area-2/topic-2/doc-42.md'
+union all select 'contains', vault, page_id from (select vault, page_id from pages where contains(lower(title), 'th') or contains(lower(rel_path), 'th') qualify row_number() over (partition by vault order by page_id) <= 60)
+union all select 'sourced', vault, page_id from (select vault, page_id from pages where doc_id % 3 = 0 or doc_id % 5 = 0 qualify row_number() over (partition by vault order by page_id) <= 200)""")
+def page_filters(s, d):
+    p = v.pages(s, d).withColumn("frontmatter_json", F.expr("if(doc_id % 3 = 0 or doc_id % 5 = 0, '{\"source\": \"u\"}', '{}')"))
+    asked = {"folder": {"folder": "area-1/topic-1"}, "path": {"path": "area-2/topic-2/doc-42.md"}, "contains": {"contains": "th"}, "sourced": {"sourced": True}}
+    each = [health.page_filter(p, **how).select(F.lit(name).alias("by_what"), "vault", "page_id") for name, how in asked.items()]
+    return functools.reduce(lambda a, b: a.unionByName(b), each)
+
+
+ALONE = "regexp_extract({}, 'doc-([0-9]+)$', 1)::bigint % 6"
+
+
+@query(f"""
+, linked as (select * from edges where {ALONE.format('src')} <> 0 and {ALONE.format('dst')} <> 0)
+select vault, page_id from pages p where not exists (select 1 from linked e where e.vault = p.vault and (e.src = p.page_id or e.dst = p.page_id))""")
+def unlinked_pages(s, d):
+    number = lambda c: F.regexp_extract(c, r"doc-(\d+)$", 1).cast("long") % 6
+    return links.orphans(v.pages(s, d), edges_of(s, d).filter((number("src") != 0) & (number("dst") != 0))).select("vault", "page_id")
+
+
+LETTERS = "trim(regexp_replace(regexp_replace(plain, '[^A-Za-z ]', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@query(f"select doc_id, case when t <> '' and length(t) <= 90 then t end as title from (select doc_id, trim(substring({LETTERS}, 1, (doc_id % 120)::int)) as t from docs)")
+def title_replies(s, d):
+    t = F.trim(F.regexp_replace(F.regexp_replace("plain", "[^A-Za-z ]", " "), " +", " "))
+    p = v.pages(s, d).select("doc_id", F.trim(F.substring(t, F.lit(1), (F.col("doc_id") % 120).cast("int"))).alias("t"))
+    return p.select("doc_id", ingest.to_title(F.concat(F.lit("## "), "t", F.lit(".;\nand a second line"))).alias("title"))
+
+
+@query(f"""
+, w as (select vault, doc_id, list_filter(string_split(lower({LETTERS}), ' '), lambda x: length(x) between 2 and 30)[1:8] as w from pages),
+known as (select distinct vault, w[1] as tag from w where doc_id % 10 = 0 and len(w) > 0),
+one as (select vault, doc_id, unnest(w) as tag, unnest(range(len(w))) as pos from w),
+own as (select o.vault, doc_id, pos, case when k.tag is null then o.tag else upper(o.tag) end as tag from one o left join known k on k.vault = o.vault and k.tag = o.tag),
+firsts as (select vault, doc_id, tag, min(pos) as pos from own group by all)
+select doc_id, list(tag order by pos)[1:6] as tags from firsts group by vault, doc_id""")
+def tag_replies(s, d):
+    t = F.trim(F.regexp_replace(F.regexp_replace("plain", "[^A-Za-z ]", " "), " +", " "))
+    w = F.slice(F.filter(F.split(F.lower(t), " "), lambda x: F.length(x).between(2, 30)), 1, 8)
+    p = materialize(v.pages(s, d).select("vault", F.col("doc_id").alias("id"), w.alias("w")).filter(F.size("w") > 0))
+    raw = F.when(F.col("id") % 2 == 0, F.concat(F.lit('Sure: ["'), F.array_join("w", '", "'), F.lit('"]'))).otherwise(F.array_join("w", "\n- "))
+    known = p.filter("id % 10 = 0").select("vault", F.upper(F.col("w")[0]).alias("tag")).distinct()
+    return ingest.to_tags(p.select("vault", "id", raw.alias("raw")), known).select(F.col("id").alias("doc_id"), "tags")
+
+
+@query("""select vault, string_agg('- ' || page_id || ': ' || concat_ws('; ', case when doc_id % 2 = 0 then 'add tags' end, case when doc_id % 3 = 0 then 'retype title' end), chr(10) order by page_id) as text
+from pages where doc_id % 2 = 0 or doc_id % 3 = 0 group by vault""")
+def fix_lists(s, d):
+    files = s.createDataFrame([(x, RULES_PAGE) for x in ("v0", "v1", "v2")], "vault string, text string")
+    p = v.pages(s, d).withColumn("frontmatter_json", F.expr("concat('{\"title\": ', if(doc_id % 3 = 0, '5', '\"x\"'), if(doc_id % 2 = 0, '', ', \"tags\": [\"a\"]'), ', \"updated\": \"2024-01-05\"}')"))
+    return schema.fix_list(schema.check_schema(p, schema.schema_rules(files)))

@@ -62,9 +62,9 @@ def read_log(spark: SparkSession, path: str, schema: str, since=None, keep: int
     return log
 
 
-def read_store(spark: SparkSession, path: str, value: str, key: str = "page_id") -> DataFrame:
-    """A JSON object of objects as rows: its keys in a column ``key``."""
-    raw = spark.read.text(path, wholetext=True)
+def read_store(spark: SparkSession, path: str, value: str, key: str = "page_id", lines: bool = False) -> DataFrame:
+    """A JSON object of objects as rows: its keys in a column ``key``. lines: a large store, cut into an object a line."""
+    raw = spark.read.text(path, wholetext=not lines)
     return raw.select(F.explode(F.from_json("value", f"map<string,struct<{value}>>")).alias(key, "v")).select(key, "v.*")
 
 
