@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -302,8 +303,25 @@ def test_minimum_cut():
         costs = [r.uniform(-3, 3) for _ in range(n)]
         links = [(i, j, r.uniform(0, 2)) for i in range(n) for j in range(i) if r.random() < 0.5]
         price = lambda side: sum(-c for c, s in zip(costs, side, strict=True) if s) + sum(w for a, b, w in links if side[a] != side[b])  # noqa: E731, B023
-        best = min(price([bool(m >> i & 1) for i in range(n)]) for m in range(2**n))
-        assert math.isclose(price(html_extract.source_side(costs, links)), best, abs_tol=1e-6)
+        sides = [[bool(m >> i & 1) for i in range(n)] for m in range(2**n)]
+        best = min(map(price, sides))
+        least = [all(x) for x in zip(*(s for s in sides if price(s) < best + 1e-9), strict=True)]
+        assert html_extract.source_side(costs, links) == least
+        tree = [(j, i, w) if i < n // 2 <= j else (i, j, w) for i, j, w in links]
+        assert html_extract.source_side(costs, tree, n // 2) == least
+
+
+def test_deep_pages():
+    """Nesting costs no more than its length."""
+    began = time.time()
+    for page in ("<div>x " * 20_000, "<li><ul>" + "<div>" * 20_000 + "<li></li>" * 20_000, "<article>" + "<p>Some words, and more.<div>nav</div>" * 8000):
+        html_extract.main_text(page)
+    assert time.time() - began < 20
+
+
+def test_math_is_text():
+    page = "<article><h1>On sums</h1><p>We know that <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, and so the sum is three.</p><p>That is all there is to say about it.</p></article>"
+    assert "We know that x=2 holds" in html_extract.main_text(page)
 
 
 # ---- url filters

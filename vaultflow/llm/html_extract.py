@@ -18,7 +18,7 @@ length; repeated pages are extracted alike; an empty table gives no rows; other
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -32,7 +32,7 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 WORD = re.compile(r"\w+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video title select textarea button datalist".split())
+DROPPED = frozenset("script style noscript template svg iframe object canvas audio video title select textarea button datalist".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -109,8 +109,8 @@ class Page:
         self.blocks: list[tuple[str, str, int, int]] = []
         self.around, self.costs, self.framed = [0], [0.0], [False]
         self.stack = [Element("", True, 0, False, False, False, False)]
-        #: How often each tag is open in all, and since the innermost block.
-        self.open: Counter = Counter()
+        #: Where each tag is open, and how often since the innermost block.
+        self.open: defaultdict[str, list[int]] = defaultdict(list)
         self.inline: list[Counter] = [Counter()]
         self.read(html)
 
@@ -127,7 +127,7 @@ class Page:
             self.costs.append(value)
             self.framed.append((article or main) and not (away or above.away))
         self.stack.append(Element(tag, block, node, above.link or tag == "a", article, main, above.away or away))
-        self.open[tag] += 1
+        self.open[tag].append(len(self.stack) - 1)
         if block:
             self.inline.append(Counter())
         else:
@@ -135,7 +135,7 @@ class Page:
 
     def pop(self) -> str:
         e = self.stack.pop()
-        self.open[e.tag] -= 1
+        self.open[e.tag].pop()
         if e.block:
             self.inline.pop()
         else:
@@ -161,13 +161,10 @@ class Page:
         if tag in ENDS:
             same, stop = ENDS[tag]
             same = same.split()
-            if any(self.open[x] for x in same):
-                for e in reversed(self.stack):
-                    if e.tag in same:
-                        self.close(e.tag)
-                        break
-                    if e.tag in stop:
-                        break
+            last = lambda tags: max(((self.open[x][-1], x) for x in tags if self.open[x]), default=(-1, ""))
+            at, found = last(same)
+            if at > last(stop)[0]:
+                self.close(found)
 
     def read(self, html: str) -> None:
         parts: list[str] = []
@@ -196,7 +193,7 @@ class Page:
                 continue
             tag = m[2].lower()
             if tag in DROPPED and not m[1]:
-                if not (tag in ("svg", "math") and m[3].endswith("/")):
+                if not (tag == "svg" and m[3].endswith("/")):
                     end = re.compile(f"</{re.escape(tag)}", re.I).search(html, at)
                     close = html.find(">", end.end()) if end else -1
                     at = len(html) if close < 0 else close + 1
@@ -260,9 +257,13 @@ def graph(page: Page) -> tuple[list[float], list[tuple[int, int, float]]]:
 TINY = 1e-9
 
 
-def source_side(costs: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
+def source_side(costs: list[float], links: list[tuple[int, int, float]], blocks: int = 0) -> list[bool]:
     """Nodes on the source's side of the least minimum cut.
 
+    Links that come from a node numbered ``blocks`` or more lead down a tree, in which a node's number is greater than that of the node above
+    it but for those below ``blocks``. What the nodes have or lack is first pushed up the tree as far as the links hold, which meets most of it in
+    one walk, however deep the tree is; what is left over is searched for.
+
     Flow through a node itself is already taken off, so a node has either supply or demand. In each phase a search from all
     supplies numbers the nodes by their distance, and flow is pushed along shortest paths until none is left; when no
     demand can be reached, the nodes that supplies still reach are the source's side."""
@@ -277,6 +278,16 @@ def source_side(costs: list[float], links: list[tuple[int, int, float]]) -> list
         to[b].append(len(head))
         head.append(a)
         room.append(w)
+    up = {b: 2 * k for k, (a, b, _) in enumerate(links) if a >= blocks}
+    for b in [*range(blocks), *range(n - 1, blocks - 1, -1)]:
+        if b in up and left[b]:
+            e = up[b]
+            a, push = head[e ^ 1], min(abs(left[b]), room[e ^ 1] if left[b] > 0 else room[e])
+            sign = push if left[b] > 0 else -push
+            left[b] -= sign
+            left[a] += sign
+            room[e] += sign
+            room[e ^ 1] -= sign
     while True:
         far = [-1] * n
         queue = [i for i in range(n) if left[i] > TINY]
@@ -335,7 +346,7 @@ def source_side(costs: list[float], links: list[tuple[int, int, float]]) -> list
 
 def labels(page: Page) -> list[bool]:
     """Which blocks are content."""
-    return source_side(*graph(page))[: len(page.blocks)]
+    return source_side(*graph(page), len(page.blocks))[: len(page.blocks)]
 
 
 def main_text(html: str | None) -> str:
