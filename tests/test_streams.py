@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -96,3 +97,29 @@ def test_bursts_feed_and_hooks_as_streams(spark, tmp_path):
     assert len(run(jobs.change_feed(stream, AT, AT + dt.timedelta(seconds=600)), tmp_path, "feed")) == 3
     hooks = spark.createDataFrame([("v", "u1", [], True), ("v", "u2", ["read"], True)], "vault string, url string, kinds array<string>, enabled boolean")
     assert {r.url for r in run(jobs.route(stream, hooks), tmp_path, "hooks")} == {"u1"}
+
+
+def test_debounce_by_clock(spark, tmp_path):
+    """A burst gives one row soon after its last write, with no later row to wake the stream."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        schema = "vault string, rel_path string, at timestamp, text string"
+        at = lambda ms: (AT + dt.timedelta(milliseconds=ms)).isoformat()
+        rows_of(tmp_path / "in", "a.json", [{"vault": "v", "rel_path": "p", "at": at(m), "text": str(m)} for m in (0, 300, 100)])
+        stream = jobs.debounced_by_clock(spark.readStream.schema(schema).json(str(tmp_path / "in")), 400)
+        q = stream.writeStream.format("memory").queryName("quiet").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+        try:
+            deadline = time.time() + 90
+            while time.time() < deadline and not spark.table("quiet").count():
+                time.sleep(0.2)
+            assert [(r.rel_path, r.text, r.writes) for r in spark.table("quiet").collect()] == [("p", "300", 3)]
+            rows_of(tmp_path / "in", "b.json", [{"vault": "v", "rel_path": "p", "at": at(5000), "text": None}, {"vault": "v", "rel_path": "q", "at": at(1), "text": "x"}])
+            while time.time() < deadline and spark.table("quiet").count() < 3:
+                time.sleep(0.2)
+            assert sorted((r.rel_path, str(r.text), r.writes) for r in spark.table("quiet").collect()) == [("p", "300", 3), ("p", "None", 1), ("q", "x", 1)]
+        finally:
+            q.stop()
+    finally:
+        spark.conf.set(provider, before)

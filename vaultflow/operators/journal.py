@@ -153,33 +153,56 @@ def reconcile(files: DataFrame, state: DataFrame, now, deletions: bool = False)
     return both.select("vault", "rel_path", F.lit(now).cast("timestamp").alias("at"), "_c.kind", "_c.lines_added", "_c.lines_removed", content_hash(F.col("text")).alias("hash"))
 
 
+def as_of(asked: DataFrame, facts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """asked (*keys, at) with the value of the latest fact (*keys, at, value) at that time or before; the last one of all where at is null.
+
+    A merge: both are laid on one line of time for each key and the latest fact is carried along, so no fact meets every question. Of facts of one
+    time the greatest value counts."""
+    one = facts.groupBy(*keys, "at").agg(F.max(value).alias(value))
+    line = one.select(*keys, "at", F.struct(F.col(value)).alias("_fact")).unionByName(asked.select(*keys, "at").distinct().withColumn("_fact", F.lit(None).cast(f"struct<{value}:{facts.schema[value].dataType.simpleString()}>")))
+    order = Window.partitionBy(*keys).orderBy(F.col("at").asc_nulls_last(), F.col("_fact").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return line.withColumn("_last", F.last("_fact", ignorenulls=True).over(order)).filter("_fact is null").select(*keys, "at", F.col("_last")[value].alias(value))
+
+
+def first_holding(lines: DataFrame, versions: DataFrame) -> DataFrame:
+    """(vault, rel_path, line_text, found) of distinct lines: the time of the first version that holds the line, also as a part of a longer one.
+
+    Equal lines are found by a join of lines. Only a line that the oldest version has not as a whole line is looked for as a part, in the
+    versions before the first that has it."""
+    keys = ["vault", "rel_path"]
+    v = versions.select(*keys, F.col("at").alias("v_at"), F.col("text").alias("v_text"))
+    whole = v.select(*keys, "v_at", F.explode(F.array_distinct(F.split("v_text", "\n"))).alias("line_text")).groupBy(*keys, "line_text").agg(F.min("v_at").alias("equal_at"))
+    oldest = v.groupBy(*keys).agg(F.min("v_at").alias("oldest"))
+    known = lines.select(*keys, "line_text").distinct().join(whole, [*keys, "line_text"], "left").join(oldest, keys)
+    done = known.filter("equal_at = oldest").select(*keys, "line_text", F.col("equal_at").alias("found"))
+    rest = known.filter("equal_at is null or equal_at > oldest")
+    part = rest.join(v, keys).filter((F.col("equal_at").isNull() | (F.col("v_at") < F.col("equal_at"))) & F.col("v_text").contains(F.col("line_text")))
+    part = part.groupBy(*keys, "line_text").agg(F.min("v_at").alias("part_at"))
+    rest = rest.join(part, [*keys, "line_text"], "left").select(*keys, "line_text", F.least("part_at", "equal_at").alias("found")).filter("found is not null")
+    return done.unionByName(rest)
+
+
 def blame(lines_of: DataFrame, versions: DataFrame, attributions: DataFrame, unknown: str = "oldest") -> DataFrame:
     """(vault, rel_path, line, text, agent, at) of each line of the files (vault, rel_path, text).
 
     A line is dated by the first version that holds it; one that the oldest version holds, or a blank one, has no writer. A line that
-    no version holds is dated by the oldest version (or the newest). Distinct lines are searched inside the versions of their own page only: an
-    earlier version may hold a line as a part of a longer one, so equal lines alone would date it too late."""
+    no version holds is dated by the oldest version (or the newest)."""
     lines = lines_of.select("vault", "rel_path", F.posexplode(F.split("text", "\n")).alias("line", "line_text"))
     lines = lines.withColumn("line", F.col("line") + 1)
-    known = lines.filter(F.trim("line_text") != "")
-    v = versions.select("vault", "rel_path", F.col("at").alias("v_at"), F.col("text").alias("v_text"))
-    inside = known.select("vault", "rel_path", "line_text").distinct().join(v, ["vault", "rel_path"]).filter(F.col("v_text").contains(F.col("line_text")))
-    first = inside.groupBy("vault", "rel_path", "line_text").agg(F.min("v_at").alias("found"))
-    ends = v.groupBy("vault", "rel_path").agg(F.min("v_at").alias("oldest"), (F.min if unknown == "oldest" else F.max)("v_at").alias("else_at"))
+    first = first_holding(lines.filter(F.trim("line_text") != ""), versions)
+    ends = versions.groupBy("vault", "rel_path").agg(F.min("at").alias("oldest"), (F.min if unknown == "oldest" else F.max)("at").alias("else_at"))
     dated = lines.join(first, ["vault", "rel_path", "line_text"], "left").join(ends, ["vault", "rel_path"], "left")
     blank = F.trim("line_text") == ""
     old = F.col("found").eqNullSafe(F.col("oldest")) & F.col("found").isNotNull()
     dated = dated.withColumn("at", F.when(blank | old, None).otherwise(F.coalesce("found", "else_at"))).withColumn("_write", ~blank & ~old)
-    # As-of: the last attribution of the file at or before that time.
+    # The last attribution of the file at or before that time.
     files = lines_of.select("vault", "rel_path").distinct()
-    writers = attributions.select(F.col("at").alias("w_at"), "agent", "file")
     tail = F.reverse(F.split("file", "/"))
     tails = F.transform(F.sequence(F.lit(1), F.size(tail)), lambda i: F.array_join(F.reverse(F.slice(tail, F.lit(1), i)), "/"))
-    writers = writers.withColumn("rel_path", F.explode(tails)).join(files.select("rel_path").distinct(), "rel_path").select("rel_path", "w_at", "agent")
-    when = dated.filter("_write").select("vault", "rel_path", "at").distinct()
-    asof = when.join(writers, "rel_path").filter("at is null or w_at <= at").groupBy("vault", "rel_path", "at").agg(F.max(F.struct("w_at", "agent")).alias("w"))
-    asof = asof.select(F.col("vault").alias("_v"), F.col("rel_path").alias("_p"), F.col("at").alias("_at"), F.col("w.agent").alias("agent"))
-    out = dated.join(asof, (F.col("vault") == F.col("_v")) & (F.col("rel_path") == F.col("_p")) & F.col("at").eqNullSafe(F.col("_at")) & F.col("_write"), "left")
+    writers = attributions.select("at", "agent", F.explode(tails).alias("rel_path")).join(files, "rel_path").select("vault", "rel_path", "at", "agent")
+    who = as_of(dated.filter("_write"), writers, ["vault", "rel_path"], "agent")
+    who = who.select(F.col("vault").alias("_v"), F.col("rel_path").alias("_p"), F.col("at").alias("_at"), "agent")
+    out = dated.join(who, (F.col("vault") == F.col("_v")) & (F.col("rel_path") == F.col("_p")) & F.col("at").eqNullSafe(F.col("_at")) & F.col("_write"), "left")
     return out.select("vault", "rel_path", "line", F.col("line_text").alias("text"), "agent", "at")
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.journal import classify_texts
 
@@ -46,6 +47,46 @@ def debounced(files: DataFrame, quiet: str = "400 milliseconds", late: str = "1
     return files.withWatermark("at", late).groupBy("vault", "rel_path", F.session_window("at", quiet)).agg(F.max_by("text", "at").alias("text"), F.max("at").alias("at"), F.count("*").alias("writes"))
 
 
+class Quiet(StatefulProcessor):
+    """Keeps the last text of a page until nothing was written to it for a while by the clock, then gives it out."""
+
+    def __init__(self, quiet_ms: int):
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "text string, at timestamp, writes bigint, timer bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        text, at, writes, timer = self.last.get() if self.last.exists() else (None, None, 0, None)
+        for pdf in rows:
+            for t, x in zip(pdf["text"], pdf["at"], strict=True):
+                if at is None or x >= pd.Timestamp(at):
+                    text, at = t if isinstance(t, str) else None, x.to_pydatetime()
+                writes += 1
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        timer = timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms
+        self.handle.registerTimer(timer)
+        self.last.update((text, at, writes, timer))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        text, at, writes, _ = self.last.get()
+        self.last.clear()
+        yield pd.DataFrame({"vault": [key[0]], "rel_path": [key[1]], "text": [text], "at": [pd.Timestamp(at)], "writes": [writes]})
+
+    def close(self) -> None:
+        pass
+
+
+def debounced_by_clock(files: DataFrame, quiet_ms: int = 400) -> DataFrame:
+    """Like debounced, by the clock of the machines that read: a burst is given out that long after its last write came in, without waiting for
+    later rows. The state is one row a page with an open burst; it needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass)."""
+    schema = "vault string, rel_path string, text string, at timestamp, writes bigint"
+    return files.groupBy("vault", "rel_path").transformWithStateInPandas(Quiet(quiet_ms), schema, "Append", "ProcessingTime")
+
+
 def usage_windows(usage: DataFrame, size: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Reads, searches and misses of each vault and window; events later than the watermark are dropped."""
     w = F.window("at", size, slide) if slide else F.window("at", size)
