@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 import re
+import time
 
 import pytest
 from conftest import DATA
@@ -76,6 +77,43 @@ def test_gap_clusters(spark):
     assert {r.vault: r.text for r in registry.QUERIES["gap_lists"](spark, DATA).collect()} == lists
 
 
+def test_leaders():
+    """The same clusters as by looking at every cluster, also where all queries share a word; and fast there."""
+    r = random.Random(11)
+    for _ in range(40):
+        vocabulary = [f"t{i}" for i in range(r.choice([5, 12, 40]))]
+        rows = [list(dict.fromkeys([*(["all"] if r.random() < 0.7 else []), *r.choices(vocabulary, k=r.randint(1, 5))])) for _ in range(150)]
+        leaders, clusters = usage.Leaders(max(map(len, rows))), []
+        for terms in rows:
+            i = next((i for i, c in enumerate(clusters) if len(c & set(terms)) / len(c | set(terms)) >= 0.4), len(clusters))
+            if i == len(clusters):
+                clusters.append(set())
+            clusters[i] |= set(terms)
+            assert leaders.add(terms)[0] == i
+    began, leaders = time.time(), usage.Leaders(4)
+    for k in range(100_000):
+        leaders.add(["all", f"a{k % 50_000}", f"b{k % 33_333}", f"c{k}"])
+    assert time.time() - began < 60
+
+
+def test_gap_parts(spark):
+    """Parts by shared words, over a chain, a hub and lone queries."""
+    t = usage.F.timestamp_seconds(usage.F.lit(0))
+    names = [f"word{i:03d} word{i + 1:03d}" for i in range(60)] + [f"hub leaf{i:04d}x" for i in range(300)] + [f"lone{i:02d}q" for i in range(20)]
+    log = spark.createDataFrame([("v", "search", n, 0, "ann") for n in names], "vault string, t string, query string, hits int, agent string").withColumn("at", t)
+    rows = usage.cluster_gaps(log, 1_000_000).collect()
+    order = sorted(names)
+    clusters = []
+    for n in order:
+        terms = set(usage.gap_terms(n))
+        home = next((c for c in clusters if len(c[1] & terms) / len(c[1] | terms) >= 0.4), None)
+        if home is None:
+            clusters.append(home := [n, set(), 0])
+        home[1] |= terms
+        home[2] += 1
+    assert sorted((r.label, r.queries) for r in rows) == sorted((c[0], c[2]) for c in clusters)
+
+
 def test_context_packs(spark, page_rows):
     """First fit in the order of score a token, over passages scored one by one; and what is written of it."""
     trusted = {(r.vault, r.page_id): r.trust for r in registry.QUERIES["page_trust"](spark, DATA).collect()}

@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import half_up
 from ..functions.udf import vectorised
+from .graph import components
 from .storage import materialize
 
 #: Words that say nothing about what a search was for. Fixed values.
-STOP = frozenset(
-    "the a an of to in for on and or is are was were how what why when where do does did with from by at it its this that i we you my our your me us can should would could about get set use using need want find show tell any all some there here".split()
-)
+STOP = frozenset([
+    "the", "a", "an", "of", "to", "in", "for", "on", "and", "or", "is", "are", "was", "were", "how", "what", "why", "when", "where", "do", "does",
+    "did", "with", "from", "by", "at", "it", "its", "this", "that", "i", "we", "you", "my", "our", "your", "me", "us", "can", "should", "would",
+    "could", "about", "get", "set", "use", "using", "need", "want", "find", "show", "tell", "any", "all", "some", "there", "here",
+])
 THRESHOLD = 0.4
 
 
@@ -84,23 +90,64 @@ def gap_terms(query: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def cluster_rows(rows: list[dict]) -> list[tuple[int, dict]]:
-    """Leader clustering in the given order: a query joins the first cluster that shares 0.4 of the terms, and
-    the cluster takes over its terms."""
-    clusters: list[dict[str, None]] = []
-    out = []
-    for r in rows:
-        terms = dict.fromkeys(r["terms"])
-        for i, c in enumerate(clusters):
-            both = sum(t in c for t in terms)
-            if both / ((len(c) + len(terms) - both) or 1) >= THRESHOLD:
-                c.update(terms)
-                break
-        else:
-            i = len(clusters)
-            clusters.append(terms)
-        out.append((i, r))
-    return out
+class Leaders:
+    """Leader clustering of queries that come one by one: each joins the first cluster that shares THRESHOLD of the terms of both,
+    and the cluster takes over its terms.
+
+    Clusters are found by term and size. A query looks through its terms from the rarest on; a cluster that it first meets at its i-th term can share
+    only the terms that are left, so just clusters of a size that these could still reach are looked at, and a word that all
+    queries have is hardly ever looked up. Clusters too large for any query are forgotten."""
+
+    def __init__(self, most_terms: int):
+        self.most = int(most_terms / THRESHOLD)
+        self.terms: dict[int, dict[str, None]] = {}
+        self.by_term: dict[str, dict[int, set[int]]] = {}
+        self.spread: Counter = Counter()
+        self.count = 0
+
+    def _move(self, i: int, terms, size: int, there: bool) -> None:
+        for t in terms:
+            sizes = self.by_term.setdefault(t, {})
+            if there:
+                sizes.setdefault(size, set()).add(i)
+            else:
+                sizes[size].discard(i)
+                if not sizes[size]:
+                    del sizes[size]
+
+    def home(self, terms: list[str]) -> int | None:
+        best, n, seen = None, len(terms), set()
+        for k, t in enumerate(sorted(terms, key=lambda t: self.spread[t])):
+            largest = (1 / THRESHOLD + 1) * (n - k) - n + 1e-9  # of a cluster that shares n - k terms at most
+            for size, own in self.by_term.get(t, {}).items():
+                if size > largest:
+                    continue
+                for i in own - seen:
+                    seen.add(i)
+                    both = sum(x in self.terms[i] for x in terms)
+                    if both / (size + n - both) >= THRESHOLD and (best is None or i < best):
+                        best = i
+        return best
+
+    def add(self, terms: list[str]) -> tuple[int, list[str]]:
+        """The query's cluster, and those of its terms that are among the cluster's first six."""
+        i = self.home(terms)
+        if i is None:
+            i, self.count = self.count, self.count + 1
+            self.terms[i] = {}
+        own = self.terms[i]
+        new = [t for t in terms if t not in own]
+        if new:
+            self._move(i, own, len(own), False)
+            first = new[: max(0, 6 - len(own))]
+            own.update(dict.fromkeys(new))
+            self.spread.update(new)
+            if len(own) <= self.most:
+                self._move(i, own, len(own), True)
+            else:
+                del self.terms[i]
+            return i, first
+        return i, []
 
 
 @vectorised("array<string>")
@@ -108,41 +155,51 @@ def terms_of(query: pd.Series) -> pd.Series:
     return query.map(lambda q: gap_terms(q or ""))
 
 
-CLUSTER = "vault string, part long, label string, terms array<string>, queries int, misses long, agents array<string>, last_asked timestamp"
+def led(rows: DataFrame, most_terms: int) -> DataFrame:
+    """rows (vault, part, terms, ...) of each part in their order, with ``cluster`` and ``first_terms``. Rows stream by in sorted partitions; what is
+    kept between them is the terms of the part's clusters."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, leaders = None, None
+        for batch in batches:
+            out = []
+            for key, terms in zip(zip(batch.column("vault").to_pylist(), batch.column("part").to_pylist(), strict=True), batch.column("terms").to_pylist(), strict=True):
+                if key != part:
+                    part, leaders = key, Leaders(most_terms)
+                out.append(leaders.add(terms))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([i for i, _ in out], pa.int64()), pa.array([t for _, t in out], pa.list_(pa.string()))], names=[*batch.schema.names, "cluster", "first_terms"])
 
-def _cluster_part(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = pdf.sort_values(["n", "first", "gap"], ascending=[False, True, True]).to_dict("records")
-    found: dict[int, list[dict]] = {}
-    union: dict[int, dict] = {}
-    for i, r in cluster_rows(rows):
-        found.setdefault(i, []).append(r)
-        union.setdefault(i, {}).update(dict.fromkeys(r["terms"]))
-    out = [(pdf["vault"].iloc[0], int(pdf["part"].iloc[0]), c[0]["query"], list(union[i])[:6], len(c), sum(int(r["n"]) for r in c), sorted({a for r in c for a in r["agents"]}), max(r["last"] for r in c)) for i, c in found.items()]
-    return pd.DataFrame(out, columns=["vault", "part", "label", "terms", "queries", "misses", "agents", "last_asked"])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", cluster long, first_terms array<string>"
+    order = [F.desc("n"), F.asc("first"), F.asc("gap")]
+    return rows.repartition("vault", "part").sortWithinPartitions("vault", "part", *order).mapInArrow(run, schema)
 
 
 def cluster_gaps(usage: DataFrame, limit: int = 20) -> DataFrame:
     """Searches without hits, clustered by their words.
 
-    Queries that share no word, even through others, never meet, so each connected part is clustered on its own. Counting
-    comes first: only distinct queries are clustered."""
+    Counting comes first: only distinct queries are clustered. Queries that share no word, even through others, never meet, so each
+    connected part is a stream of its own; a cluster's rows are summed up by Spark, not gathered."""
     q = usage.filter(_miss()).withColumn("gap", F.lower(F.trim("query"))).filter("gap <> ''")
     q = q.groupBy("vault", "gap").agg(F.count("*").alias("n"), F.min(F.struct("at", F.trim("query").alias("query"))).alias("f"), F.max("at").alias("last"), F.collect_set("agent").alias("agents"))
     q = q.select("vault", "gap", "n", F.col("f.at").alias("first"), F.col("f.query").alias("query"), "last", "agents", terms_of("f.query").alias("terms")).filter(F.size("terms") > 0)
-    q = q.withColumn("part", F.xxhash64("vault", "gap"))
-    words = q.select("vault", "gap", F.explode("terms").alias("term"))
-    labels = q.select("vault", "gap", "part")
-    moved = True
-    while moved:  # the least label spreads over shared words until none moves
-        by_term = words.join(labels, ["vault", "gap"]).groupBy("vault", "term").agg(F.min("part").alias("least"))
-        new = words.join(by_term, ["vault", "term"]).groupBy("vault", "gap").agg(F.min("least").alias("part"))
-        new = materialize(new)
-        moved = new.join(labels.withColumnRenamed("part", "old"), ["vault", "gap"]).filter("part <> old").limit(1).count()
-        labels = new
-    out = q.drop("part").join(labels, ["vault", "gap"]).groupBy("vault", "part").applyInPandas(_cluster_part, CLUSTER)
+    q = materialize(q.withColumn("id", F.monotonically_increasing_id()))
+    words = q.select("vault", "id", F.explode("terms").alias("term"))
+    numbers = materialize(words.select("vault", "term").distinct().withColumn("word", -1 - F.monotonically_increasing_id()))
+    parts = components(words.join(numbers, ["vault", "term"]).select(F.col("id").alias("a"), F.col("word").alias("b")))
+    dealt = q.join(parts.select(F.col("node").alias("id"), F.col("component").alias("part")), "id")
+    most = q.agg(F.max(F.size("terms"))).first()[0] or 0
+    rows = led(dealt, most).withColumn("place", F.struct(-F.col("n"), F.col("first"), F.col("gap")))
+    shown = F.filter(F.array_sort(F.collect_list(F.when(F.size("first_terms") > 0, F.struct("place", "first_terms")))), lambda x: x.isNotNull())  # six rows at most
+    out = rows.groupBy("vault", "part", "cluster").agg(
+        F.min_by("query", "place").alias("label"),
+        F.flatten(F.transform(shown, lambda x: x["first_terms"])).alias("terms"),
+        F.count("*").cast("int").alias("queries"),
+        F.sum("n").alias("misses"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("agents")))).alias("agents"),
+        F.max("last").alias("last_asked"),
+    )
     w = Window.partitionBy("vault").orderBy(F.desc("misses"), F.desc("last_asked"), "label")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).drop("part")
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).drop("part", "cluster")
 
 
 def gap_list(clusters: DataFrame, most: int = 20) -> DataFrame:
