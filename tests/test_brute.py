@@ -11,7 +11,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from vaultflow import registry
-from vaultflow.operators import grams, journal, mentions, packs, rank, usage
+from vaultflow.operators import analysis, grams, journal, mentions, packs, rank, usage
 from vaultflow.plans import views
 
 
@@ -212,6 +212,37 @@ def test_authority_moves_once(spark):
     assert all(abs(got[k] - x / max(now.values())) < 1e-12 for k, x in now.items())
 
 
+@pytest.mark.parametrize(("block", "orphans"), [(4000, 4000), (7, 3)])
+def test_rescue_orphans(spark, block, orphans, monkeypatch):
+    """The best pages by shared words, tags and folder over every pair, with pages and orphans dealt to many tasks."""
+    monkeypatch.setattr(analysis, "BLOCK", block)
+    monkeypatch.setattr(analysis, "ORPHANS", orphans)
+    r = random.Random(12)
+    words = [f"word{i:03d}" for i in range(60)]
+    rows = [(v, f"p{i:02d}", r.choice(["f", "g"]), f"Title{i:02d}", " ".join(r.choices(words, k=r.choice([0, 3, 9]))) + (" common" if r.random() < 0.5 else ""), r.sample(["x", "y", "z"], r.randint(0, 2))) for v in ("v", "w") for i in range(40)]
+    rows += [("v", "odd", "f", None, None, None)]
+    df = spark.createDataFrame(rows, "vault string, page_id string, folder string, title string, plain string, tags array<string>")
+    edges = spark.createDataFrame([("v", f"p{i:02d}", f"p{i + 1:02d}") for i in range(0, 20)], "vault string, src string, dst string")
+    linked = {("v", f"p{i:02d}") for i in range(21)}
+    own = {(v, i): set(re.findall("[a-z][a-z0-9-]{4,}", f"{t or ''} {x or ''}".lower())) for v, i, _, t, x, _ in rows}
+    want = []
+    for vault in ("v", "w"):
+        pages = [x for x in rows if x[0] == vault]
+        df_of = collections.Counter(w for x in pages for w in own[x[:2]])
+        for _, page, folder, _, _, tags in pages:
+            if (vault, page) in linked:
+                continue
+            found = []
+            for _, other, at, _, _, theirs in pages:
+                shared = sorted(w for w in own[vault, page] & own[vault, other] if df_of[w] <= len(pages) * 0.15)
+                score = 2 * len(shared) + 4 * sum(t in (theirs or []) for t in tags or []) + 3 * (at == folder)
+                if other != page and score >= 6:
+                    found.append((-score, other, shared[:4]))
+            want += [(vault, page, other, -score, shared, k) for k, (score, other, shared) in enumerate(sorted(found)[:3], 1)]
+    got = [(x.vault, x.page_id, x.other, x.score, x.shared, x["rank"]) for x in analysis.rescue_orphans(df, edges).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 30
+
+
 def test_as_of(spark):
     r = random.Random(10)
     facts = [("a" if i % 3 else "b", r.randint(0, 50), r.choice("xyz")) for i in range(80)]

@@ -73,35 +73,59 @@ def semantic_search(query_vectors: DataFrame, vectors: DataFrame, limit: int = 1
     return _best(scores.groupBy("query_id", "vault", "page_id").agg(F.max("score").alias("score")), ["query_id", "vault"], limit)
 
 
+def _first(pages: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of what can be among the first ``limit`` of a row of scores by page: at the floor or over it, not below the relative cut of what is here,
+    and with ties of the last one."""
+    top = pages.max(axis=1, keepdims=True, initial=0.0)
+    keep = pages >= np.maximum(FLOOR, RELATIVE * top)
+    if pages.shape[1] > limit:
+        rounded = np.round(pages, 6)
+        keep &= rounded >= np.partition(rounded, -limit, axis=1)[:, -limit, None]
+    return np.nonzero(keep)
+
+
 def related(vectors: DataFrame, limit: int = 8, block: int = BLOCK) -> DataFrame:
     """(vault, src, page_id, score, rank): for every page the pages nearest by their best pair of chunks.
 
-    Exact and quadratic within a vault, in blocks: chunks are dealt to blocks of about ``block`` rows and each block is sent to
-    the others, where one matrix product gives all scores of two blocks; only scores over the floor leave it."""
+    Exact and quadratic within a vault, in blocks: pages are dealt with all their chunks to blocks of about ``block`` chunks, and each block is sent to
+    the others, where one matrix product gives all scores of two blocks. It is folded to pages, and of a page only what may be among
+    its first ``limit`` leaves the task."""
     counts = vectors.groupBy("vault").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    v = vectors.select("vault", "page_id", "chunk_no", "embedding").join(counts, "vault")
-    v = v.withColumn("own", F.pmod(F.xxhash64("page_id", "chunk_no"), F.col("blocks")).cast("int"))
+    v = vectors.select("vault", "page_id", "embedding").join(counts, "vault")
+    v = v.withColumn("own", F.pmod(F.xxhash64("page_id"), F.col("blocks")).cast("int"))
     sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
     dealt = v.withColumn("p", F.explode(sides)).select("vault", "p.i", "p.j", "own", "page_id", "embedding")
+    found = pa.schema([("vault", pa.string()), ("src", pa.string()), ("page_id", pa.string()), ("score", pa.float64())])
 
     def run(key, table):
         vault, i, j = (k.as_py() for k in key)
-        own = table.column("own").to_numpy()
-        page = np.array(table.column("page_id").to_pylist(), object)
-        m = np.array(table.column("embedding").to_pylist(), np.float64)
-        a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        best: dict[tuple[str, str], float] = {}
-        s = m[a] @ m[b].T if len(a) and len(b) else np.zeros((0, 0))
-        for x, y in zip(*np.nonzero(s >= FLOOR), strict=True):
-            p, q, value = page[a[x]], page[b[y]], float(s[x, y])
-            if p != q:
-                for k in ((p, q), (q, p)):
-                    if value > best.get(k, -1):
-                        best[k] = value
-        return pa.table({"vault": pa.array([vault] * len(best), pa.string()), "src": pa.array([k[0] for k in best], pa.string()), "page_id": pa.array([k[1] for k in best], pa.string()), "score": pa.array(best.values(), pa.float64())})
+        table = table.sort_by("page_id").combine_chunks()
+        own, m = table.column("own").to_numpy(), _matrix(pa.concat_arrays(table.column("embedding").chunks))
+        coded = table.column("page_id").combine_chunks().dictionary_encode()
+        of, names = coded.indices.to_numpy(), coded.dictionary
+        sets = []
+        for side in (i, j):
+            at = np.flatnonzero(own == side)
+            starts = np.flatnonzero(np.diff(of[at], prepend=-1)) if len(at) else at
+            sets.append((m[at], starts, of[at][starts]))
+        (x, sx, px), (y, sy, py) = sets
+        if not len(x) or not len(y):
+            return found.empty_table()
+        pages = np.maximum.reduceat(np.maximum.reduceat(x @ y.T, sx, axis=0), sy, axis=1)
+        if i == j:
+            np.fill_diagonal(pages, -1.0)
+        parts = [(px, py, pages)] if i == j else [(px, py, pages), (py, px, pages.T)]
+        src, other, score = [], [], []
+        for a, b, p in parts:
+            r, c = _first(p, limit)
+            src.append(a[r])
+            other.append(b[c])
+            score.append(p[r, c])
+        src, other, score = (np.concatenate(z) for z in (src, other, score))
+        return pa.table([pa.array([vault] * len(src), pa.string()), names.take(pa.array(src)), names.take(pa.array(other)), pa.array(score)], schema=found)
 
     scores = dealt.groupBy("vault", "i", "j").applyInArrow(run, "vault string, src string, page_id string, score double")
-    return _best(scores.groupBy("vault", "src", "page_id").agg(F.max("score").alias("score")), ["vault", "src"], limit)
+    return _best(scores, ["vault", "src"], limit)
 
 
 def hashing_embedder(texts: list[str], size: int = 384) -> np.ndarray:

@@ -572,6 +572,15 @@ def related_pages(s, d):
     return vectors.related(v.vectors(s, d), limit=1_000_000).select("vault", "src", "page_id", F.round("score", 3).alias("score"))
 
 
+@query("""
+with vc as (select 'v' || ((vec_id // 3) % 3) as vault, 'page-' || (vec_id // 3) as page_id, embedding from embeddings),
+sc as (select a.vault, a.page_id as src, b.page_id, max(list_dot_product(a.embedding::double[], b.embedding::double[])) as score from vc a join vc b on a.vault = b.vault and a.page_id <> b.page_id group by all),
+t as (select *, max(score) over (partition by vault, src) as top from sc where score >= 0.3)
+select vault, src, page_id, round(score, 3) as score, row_number() over (partition by vault, src order by round(score, 6) desc, page_id)::int as rank from t where score >= 0.55 * top qualify rank <= 8""", with_views=False)
+def related_top8(s, d):
+    return vectors.related(v.vectors(s, d)).select("vault", "src", "page_id", F.round("score", 3).alias("score"), "rank")
+
+
 @query("""
 , st as (select vault, page_id, case when doc_id % 5 = 0 then 'x' else hash end as hash from pages where doc_id % 3 <> 1 or doc_id % 2 = 0)
 select vault, page_id, 'embed' as action from pages where doc_id % 5 = 0 or not (doc_id % 3 <> 1 or doc_id % 2 = 0) union all select vault, page_id || '-gone', 'delete' from st""")
