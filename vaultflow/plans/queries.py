@@ -591,15 +591,22 @@ def stale_vectors(s, d):
     return vectors.stale_vectors(p, stored.unionByName(gone))
 
 
-@query("""
-, a as (select query_id, vault, page_id, 1.0::double as score from queries, pages where doc_id % 10 = query_id), b as (select query_id, vault, page_id, (doc_id % 50)::double as score from queries, pages where doc_id % 5 = query_id % 5)
+@query(SEARCH + f"""
+, a as (select query_id, vault, page_id, score from (select query_id, vault, page_id, round(score, 5) as score, row_number() over (partition by query_id, vault order by round(score, 9) desc, mtime desc, page_id) as rank from ss where score > 0) where rank <= 10),
+vc as (select {v.vault_sql('(vec_id // 3)')} as vault, 'page-' || (vec_id // 3) as page, vec_id // 3 as number, vec_id, embedding from embeddings),
+sc as (select x.query_id, y.vault, y.page, any_value(y.number) as number, max(list_dot_product(x.embedding::double[], y.embedding::double[])) as score from (select vec_id as query_id, embedding from vc where vec_id % 20 = 0) x, vc y group by x.query_id, y.vault, y.page),
+f as (select * from sc where score >= 0.3), t as (select *, max(score) over (partition by query_id, vault) as top from f),
+b as (select query_id, vault, {v.page_sql('number')} as page_id, round(score, 3) as score from t where score >= 0.55 * top qualify row_number() over (partition by query_id, vault order by round(score, 6) desc, page) <= 40)
 select query_id, vault, page_id, score, 'literal' as kind from a union all
-select query_id, vault, page_id, score - 1, 'semantic' from (select b.* from b anti join a using (query_id, vault, page_id) qualify row_number() over (partition by query_id, vault order by score desc, page_id) <= 12)""")
+select query_id, vault, page_id, round(score - 1, 5), 'semantic' from (select b.* from b anti join a using (query_id, vault, page_id) qualify row_number() over (partition by query_id, vault order by score desc, page_id) <= 12)""")
 def blended_search(s, d):
-    q, p = v.queries(s, d).select(F.col("query_id").cast("int").alias("query_id")), v.pages(s, d)
-    a = p.join(q, F.col("doc_id") % 10 == F.col("query_id")).select("query_id", "vault", "page_id", F.lit(1.0).alias("score"))
-    b = p.join(q, F.col("doc_id") % 5 == F.col("query_id") % 5).select("query_id", "vault", "page_id", (F.col("doc_id") % 50).cast("double").alias("score"))
-    return rank.blended(a, b)
+    """The first ten hits of a search by words with those of the search by vectors that has its number; vectors belong to the page of their number."""
+    found = search_top10(s, d).select("query_id", "vault", "page_id", "score")
+    x = v.vectors(s, d)
+    near = vectors.semantic_search(x.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), x, limit=40)
+    number = F.regexp_extract("page_id", r"(\d+)$", 1).cast("long")
+    near = near.withColumn("number", number).select("query_id", "vault", F.expr(v.page_sql("number")).alias("page_id"), F.round("score", 3).alias("score"))
+    return rank.blended(found, near.withColumn("query_id", F.col("query_id").cast("int"))).withColumn("score", F.round("score", 5))
 
 
 # ---- analyses

@@ -12,6 +12,8 @@ from ..operators.storage import spread
 
 NOW = "2024-02-01 00:00:00"
 NOW_S = 1_706_745_600
+#: The page that an event reads, and the one that it writes: as many pages as the events ask for, some fifteen or twelve events each.
+READ, WRITTEN = "cast(floor(event_id / 15) as bigint)", "cast(floor(event_id / 12) as bigint)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +72,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case event_type when 'view' then 'read' when 'click' then 'search' when 'error' then 'search' when 'purchase' then 'index' else 'health' end as t",
         "cast(ts as timestamp) as at",
         "'agent-' || cast(user_id % 12 as string) as agent",
-        f"if(event_type = 'view', {page_sql('(event_id % 700)')}, null) as page",
+        f"if(event_type = 'view', {page_sql(READ)}, null) as page",
         "case event_type when 'click' then 'topic' when 'error' then 'Area' || cast(user_id % 20 as string) || ' topic' || cast(user_id as string) end as query",
         "case event_type when 'click' then 1 when 'error' then 0 end as hits",
     )
@@ -78,8 +80,8 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
-        f"{vault_sql('(event_id % 800)')} as vault",
-        f"{page_sql('(event_id % 800)')} || '.md' as rel_path",
+        f"{vault_sql(WRITTEN)} as vault",
+        f"{page_sql(WRITTEN)} || '.md' as rel_path",
         "cast(ts as timestamp) as at",
         "case event_type when 'view' then 'appended' when 'purchase' then 'created' when 'signup' then 'deleted' else 'rewritten' end as kind",
         "cast(floor(value) as bigint) % 50 as lines_added",
@@ -88,7 +90,7 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def writers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr("cast(ts as timestamp) as at", f"'/home/kb/' || {page_sql('(event_id % 800)')} || '.md' as file", "'agent-' || cast(user_id % 12 as string) as agent", "'edit' as tool")
+    return table(spark, sf_dir, "events").selectExpr("cast(ts as timestamp) as at", f"'/home/kb/' || {page_sql(WRITTEN)} || '.md' as file", "'agent-' || cast(user_id % 12 as string) as agent", "'edit' as tool")
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,12 +136,12 @@ ledger as (select {vault_sql('doc_id')} as vault, {page_sql('doc_id')} as page_i
 trusted as (select p.*, case when l.at is null then 'unverified' when l.hash <> p.hash then 'lapsed' when {NOW_S} - l.at > 120 * 86400 then 'aging' else 'verified' end as trust
   from pages p left join ledger l using (vault, page_id)),
 usage as (select event_id, {vault_sql('event_id')} as vault, case event_type when 'view' then 'read' when 'click' then 'search' when 'error' then 'search' when 'purchase' then 'index' else 'health' end as t,
-  ts as at, 'agent-' || (user_id % 12) as agent, case when event_type = 'view' then {page_sql('(event_id % 700)')} end as page,
+  ts as at, 'agent-' || (user_id % 12) as agent, case when event_type = 'view' then {page_sql(READ)} end as page,
   case event_type when 'click' then 'topic' when 'error' then 'Area' || (user_id % 20) || ' topic' || user_id end as query, case event_type when 'click' then 1 when 'error' then 0 end as hits from events),
-journal as (select {vault_sql('(event_id % 800)')} as vault, {page_sql('(event_id % 800)')} as page_id, {page_sql('(event_id % 800)')} || '.md' as rel_path, ts as at,
+journal as (select {vault_sql(WRITTEN)} as vault, {page_sql(WRITTEN)} as page_id, {page_sql(WRITTEN)} || '.md' as rel_path, ts as at,
   case event_type when 'view' then 'appended' when 'purchase' then 'created' when 'signup' then 'deleted' else 'rewritten' end as kind,
   floor(value)::bigint % 50 as lines_added, floor(value)::bigint % 7 as lines_removed from events),
-writers as (select ts as at, {page_sql('(event_id % 800)')} || '.md' as rel_path, 'agent-' || (user_id % 12) as agent from events),
+writers as (select ts as at, {page_sql(WRITTEN)} || '.md' as rel_path, 'agent-' || (user_id % 12) as agent from events),
 versions as (select {vault_sql('conv_id')} as vault, 'conv-' || conv_id || '.md' as rel_path, {NOW_S} - 86400 * 30 + turn * 3600 as at, substring(sha1(text), 1, 16) as hash, text, conv_id, turn from conversations),
 queries as (select doc_id as query_id, case when doc_id % 40 = 0 then title else array_to_string(string_split(plain, ' ')[2:3], ' ') end as query from pages where doc_id % 20 = 0),
 quarantine as (select {vault_sql('doc_id')} as vault, {page_sql('doc_id')} as page_id from documents where doc_id % 13 = 0)
