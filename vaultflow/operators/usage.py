@@ -76,9 +76,19 @@ def cold_pages(pages: DataFrame, usage: DataFrame) -> DataFrame:
 
 
 def keep_newest(log: DataFrame, most: int = 50_000) -> DataFrame:
-    """The newest events of each vault."""
+    """The newest events of each vault.
+
+    Events are counted by the hour first. Whole hours that hold fewer than ``most`` events together with all later ones stay as they are, hours before
+    the one in which the limit falls go; only that hour's events are put in order."""
     order = [F.desc("at"), *[c for c in ("event_id", "agent", "page", "query") if c in log.columns]]
-    return log.withColumn("_k", F.row_number().over(Window.partitionBy("vault").orderBy(*order))).filter(F.col("_k") <= most).drop("_k")
+    hours = log.groupBy("vault", F.date_trunc("hour", "at").alias("_hour")).agg(F.count("*").alias("_n"))
+    later = Window.partitionBy("vault").orderBy(F.col("_hour").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0))).filter(F.col("_later") < most)
+    hours = hours.withColumnsRenamed({"vault": "_v", "_hour": "_h"})
+    near = log.join(hours, F.col("vault").eqNullSafe(F.col("_v")) & F.date_trunc("hour", "at").eqNullSafe(F.col("_h")))
+    whole = near.filter(F.col("_later") + F.col("_n") <= most).select(*log.columns)
+    edge = near.filter(F.col("_later") + F.col("_n") > most).withColumn("_k", F.row_number().over(Window.partitionBy("vault").orderBy(*order)))
+    return whole.unionByName(edge.filter(F.col("_later") + F.col("_k") <= most).select(*log.columns))
 
 
 def gap_terms(query: str) -> list[str]:

@@ -6,7 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..operators.usage import keep_newest
 
 #: Folders that are never part of a vault. Fixed values.
 SKIPPED = ("node_modules", ".git", ".obsidian", ".trash", ".next", "dist", "build", ".vercel")
@@ -57,8 +58,8 @@ def read_log(spark: SparkSession, path: str, schema: str, since=None, keep: int
     if since is not None:
         log = log.filter(F.col("at") >= F.lit(since).cast("timestamp"))
     if keep is not None:
-        w = Window.partitionBy(*(["vault"] if "vault" in log.columns else [])).orderBy(F.desc("at"))
-        log = log.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= keep).drop("_k")
+        one = log if "vault" in log.columns else log.withColumn("vault", F.lit(""))
+        log = keep_newest(one, keep).select(*log.columns)
     return log
 
 
