@@ -15,7 +15,7 @@ hash set in the expression.
 Defined cases: a null text counts as empty and an empty text has the fingerprint of no terms;
 repeated rows and equal texts have equal fingerprints; ties of doc_id follow each other in the
 order of their texts; the one row of a table of one row is its own next document; an empty table
-gives no rows; other columns are not read.
+gives no rows; texts of any length are read whole; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

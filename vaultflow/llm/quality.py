@@ -12,7 +12,8 @@ Scoring reads every text whole.
 Defined cases: null and empty texts are scored as empty ones; with fewer than MIN_CLASS sampled texts of
 a label every score is the share of label 1 (1 where nothing is labelled); labels that are null
 or have no document are left out; repeated rows are scored alike; an empty table gives no
-rows; other columns are carried.
+rows; texts are compressed whole, whatever their length; equal texts have equal scores; other columns are carried, but for one with the
+score's name, which gives way (``keep_good`` takes a name that no column has).
 """
 
 from __future__ import annotations

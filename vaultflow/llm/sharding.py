@@ -8,7 +8,9 @@ are permuted again (cycle walking) until they fall inside. Row number p goes to
 counts of the shards differ by one at most and slots have no gaps.
 
 Defined cases: a null text has no bytes; an empty table gives no rows; repeated rows
-get numbers of their own; other columns of the input are carried or dropped, never read.
+get numbers of their own, and rows tied in all of these stand in any order, which changes nothing that is
+returned; a text of any length is read once for its size and checksum; other columns of the input are carried, never read, but for
+columns named shard and slot, which give way.
 """
 
 from __future__ import annotations
