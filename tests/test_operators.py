@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from vaultflow.functions import text
-from vaultflow.operators import analysis, ingest, journal, links, mentions, packs, pages, rank, schema, similar, trust, usage, vectors
+from vaultflow.operators import analysis, grams, ingest, journal, links, mentions, packs, pages, rank, schema, similar, trust, usage, vectors
 from vaultflow.sources import files as sources
 
 NOW = "2024-02-01 00:00:00"
@@ -298,11 +298,13 @@ def test_embedded_chunks(spark):
     assert [r.page_id for r in vectors.semantic_search(asked, c).collect()] == ["a"]
 
 
-def test_phrases_by_their_inner_words(spark):
+def test_phrases_inside_words(spark):
     p = spark.createDataFrame([("v", "a b c", "T one", ["x y z"], "the quick brown-fox jumps"), ("v", "q", "Quick", [], "unquick brown-fox jumpsuit")], "vault string, page_id string, title string, tags array<string>, plain string")
     q = spark.createDataFrame([(1, "quick brown-fox jump"), (2, "x y z"), (3, "quick"), (4, "A b C"), (5, "")], "query_id long, query string")
     holds = lambda q: F.lower("title").contains(q) | F.lower("plain").contains(q) | F.lower("page_id").contains(q) | F.exists("tags", lambda g: F.lower(g).contains(q))
-    got = sorted((r.query_id, r.page_id) for r in rank.phrase_hits(q, p, holds).collect())
+    asked, hay = rank.phrases_of(q), F.lower(F.concat_ws("\n", "title", "page_id", F.array_join("tags", "\n"), "plain"))
+    hits = grams.matches(asked, p, ["vault", "page_id"], hay, lambda q: F.when(holds(q), True)).join(asked, "phrase")
+    got = sorted((r.query_id, r.page_id) for r in hits.collect())
     assert got == [(1, "a b c"), (1, "q"), (2, "a b c"), (3, "a b c"), (3, "q"), (4, "a b c")]
 
 
