@@ -67,7 +67,8 @@ def test_small_tables(spark):
         assert got(negatives.mine_embeddings(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
 
 
-def test_tree_covers_and_skips():
+def test_tree_covers_and_skips(monkeypatch):
+    monkeypatch.setattr(negatives, "LEAF", 128)
     rows = made(3, 4000, spread=0.05)
     q = np.floor(256 * np.array([v for _, v, _ in rows])).astype(np.int64)
     ids = np.arange(4000)
@@ -92,7 +93,7 @@ def test_tree_covers_and_skips():
 
 def test_exact_in_any_size():
     r = np.random.default_rng(4)
-    for size, kind in ((100, np.float32), (1 << 20, np.float64), (1 << 30, np.int64)):
+    for size, kind in ((100, np.float32), (1 << 20, np.float64), (1 << 27, np.int64)):
         q = r.integers(-size, size, (300, 16))
         t = negatives.Tree(q, np.arange(300), np.zeros(300, np.int64), np.arange(300))
         t.ready(float(negatives.norms(q).max()))
@@ -101,3 +102,6 @@ def test_exact_in_any_size():
         best = t.search(q[0].astype(t.kind), upper[0], lower[0], 5, (-(1 << 62), 1 << 62), {}, 0, True, 0)
         exact = sorted((-sum(int(a) * int(b) for a, b in zip(q[0], x, strict=True)), j) for j, x in enumerate(q) if j)[:5]
         assert best == exact
+    t = negatives.Tree(np.full((2, 16), 1 << 30), np.arange(2), np.zeros(2, np.int64), np.arange(2))
+    with pytest.raises(OverflowError):
+        t.ready(float(1 << 32))
