@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vaultflow.llm import decontamination, fingerprints, graph, html_extract, langid, mixing, ngram_join, quality, queries, sharding, suffix_dedup, url_filters
-from vaultflow.llm.common import tables
+from vaultflow.llm.common import materialize, tables
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -278,6 +278,20 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_stars_take_no_step(spark, monkeypatch):
+    written = []
+
+    def counted(df):
+        written.append(df)
+        return materialize(df)
+
+    monkeypatch.setattr(graph, "materialize", counted)
+    links = [(c, c + i) for c in (0, 100, 200) for i in range(1, 50)]
+    got = {x.node: x.component for x in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {b: a for a, b in links}
+    assert len(written) == 2
+
+
 # ---- html
 PAGE = """<html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>
 <div class="cookie-notice">We use cookies.</div><article><h1>Head &amp; line</h1><p>First   para &#8212; <b>bold</b><br>next<p>Second one.</p><div class="ad">Buy now</div><ul><li>Item one<li>Item two</ul>
