@@ -34,3 +34,22 @@ def test_no_shuffle_files_stay(spark):
     while files() - before and time.time() < until:
         time.sleep(0.2)
     assert not files() - before
+
+
+def test_pipeline_keeps_one_stage(spark, monkeypatch):
+    """A stage's documents are deleted as soon as the next one's are written."""
+    import corpus_pipeline
+
+    left = []
+
+    def written(df):
+        out = common.materialize(df)
+        left.append([p for p in paths if os.path.exists(p)])
+        paths.append(out.stored_at.removeprefix("file://").removeprefix("file:"))
+        return out
+
+    paths = []
+    monkeypatch.setattr(corpus_pipeline, "materialize", written)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(str(k), lambda spark, docs, d, k=k: docs.filter(F.col("doc_id") % 7 != k)) for k in range(4)])
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert [len(x) for x in left] == [0, 1, 1, 1] and [os.path.exists(p) for p in paths] == [False, False, False, True]
